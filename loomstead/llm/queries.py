@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import language_id, media, near_duplicates, pieces, sharding, token_counts, token_store, topk
+from loomstead.llm import language_id, media, near_duplicates, pieces, repeats, sharding, token_counts, token_store, topk
 from loomstead.llm.common import documents, kept
 from loomstead.llm.mixing import mix
 
@@ -35,6 +35,13 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.with_starts(kept(token_store.read_token_shards(spark, path), "token-rows"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that lie in a 50-byte string which also starts in an earlier document, removed."""
+    bounded_batches(spark)
+    cut = repeats.remove_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after: all documents inserted, toxic ones deleted, good ones revised to count an end id, and batches sent again."""
     bounded_batches(spark)
@@ -98,7 +105,7 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_token_store, op3_token_counts, op4_lpt_sharding, op5_poisson_mix, op6_hamming_top_k, op7_tiff_media, op8_minhash_groups, op9_language_id, op10_sampled_pieces)
+    ops = (op1_token_store, op2_suffix_dedup, op3_token_counts, op4_lpt_sharding, op5_poisson_mix, op6_hamming_top_k, op7_tiff_media, op8_minhash_groups, op9_language_id, op10_sampled_pieces)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 

@@ -1,0 +1,271 @@
+"""Exact removal of long repeated byte strings across documents.
+
+Every byte that lies in a string of ``width`` bytes which also starts in a document of smaller id goes;
+strings are judged on the input and never cross documents.
+
+1. Each window of ``width`` bytes has an anchor: the least hash among its 24-byte strings.  Equal windows
+   have equal anchors.  Chunks of documents send their anchors' hashes to hash buckets, packed; a bucket
+   answers each chunk with a bit for every hash that some other document also has.  Windows whose anchor
+   is in one document only cannot repeat and need no sorting.
+2. Stretches of windows with one repeated anchor are segments.  Equal segments become one, with the
+   least id among them, before anything is grouped by anchor.
+3. Segments meet by anchor in shards of bounded size.  Where an anchor has several segments, external
+   induced sorting brings equal windows together, and each window gets the least id that has it.
+4. Windows go back to the documents that hold them and are joined to removed spans.
+
+Only counts reach the driver.  Each step's result is written to the shared folder, so a lost executor
+repeats one step at most.
+"""
+
+from __future__ import annotations
+
+import gc
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomstead.llm.common import kept, shuffle_width
+from loomstead.llm.induced import window_classes
+
+WIDTH, GRAM = 50, 24
+#: Windows in a segment at most, and bytes of text in a chunk and in a sorting shard (about).
+LONGEST, CHUNK_BYTES, SHARD_BYTES = 64, 2 << 20, 3 << 20
+_BASE = np.uint64(0x100000001B3)
+
+
+def _grams(buf: np.ndarray) -> np.ndarray:
+    """A hash of the 24 bytes at each position."""
+    with np.errstate(over="ignore"):
+
+        def wider(h: np.ndarray, tail: np.ndarray, size: int, shift: int) -> np.ndarray:
+            out = h * np.uint64(pow(int(_BASE), size, 1 << 64))
+            out[: max(0, len(h) - shift)] += tail[shift:]
+            return out
+
+        h = buf.astype(np.uint64) + np.uint64(1)
+        for k in (1, 2, 4):
+            h = wider(h, h, k, k)
+        h8 = h
+        h16 = wider(h8, h8, 8, 8)
+        h = wider(h16, h8, 8, 16)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+
+def stretches(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, number of windows, anchor) of each run of windows with one anchor."""
+    size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    begin = np.cumsum(size) - size
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    n_windows = np.maximum(size - width + 1, 0)
+    total = int(n_windows.sum())
+    if not total:
+        z = np.zeros(0, np.int64)
+        return z, z, z, np.zeros(0, np.uint64)
+    least = _grams(buf)
+    reach, span = 1, width - GRAM + 1
+    while reach * 2 <= span:
+        least = np.minimum(least, np.concatenate([least[reach:], least[-1:].repeat(min(reach, len(least)))])[: len(least)])
+        reach *= 2
+    rest = span - reach
+    if rest:
+        least = np.minimum(least, np.concatenate([least[rest:], least[-1:].repeat(min(rest, len(least)))])[: len(least)])
+    owner = np.repeat(np.arange(len(texts)), n_windows)
+    offset = np.arange(total) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    anchor = least[begin[owner] + offset]
+    new = np.ones(total, bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    run = np.diff(np.append(first, total))
+    # Very long runs (periodic text) are cut, so a segment stays short.
+    pieces = -(-run // LONGEST)
+    cut = np.repeat(first, pieces) + (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * LONGEST
+    m = np.minimum(np.repeat(first + run, pieces) - cut, LONGEST)
+    return owner[cut], offset[cut], m, anchor[cut]
+
+
+def _chunk_anchors(ids: np.ndarray, owner: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct anchors of a chunk in order, whether two of its documents have it)."""
+    order = np.lexsort((ids[owner], anchor))
+    a, o = anchor[order], ids[owner][order]
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    other = np.zeros(len(a), bool)
+    other[1:] = ~new[1:] & (o[1:] != o[:-1])
+    first = np.flatnonzero(new)
+    return a[first], np.maximum.reduceat(other, first) if len(first) else other
+
+
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(k, t, a, b): byte spans to remove, as (id, hash of the text), overlapping and in any order.
+
+    Rows without id take no part.  Rows of one id never remove each other's bytes.
+    """
+    spark = docs.sparkSession
+    body = F.col(text_col).cast("binary")
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.xxhash64(body).alias("t"), body.alias("body")).where(F.length("body") >= width)
+    total = rows.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("n")).first()["n"]
+    parts = shuffle_width(spark)
+    chunks = max(parts, -(-total // CHUNK_BYTES))
+    buckets = max(parts, -(-total // (24 << 20)))
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("k", "t"), F.lit(chunks)).cast("int"))
+
+    def sort(part: pd.DataFrame) -> pd.DataFrame:
+        return part.sort_values(["k", "t"], kind="stable").drop_duplicates(["k", "t"])
+
+    def send(part: pd.DataFrame) -> pd.DataFrame:
+        part = sort(part)
+        owner, _, _, anchor = stretches(list(part["body"]), width)
+        a, twice = _chunk_anchors(part["k"].to_numpy(np.int64), owner, anchor)
+        to = (a >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        cuts = np.searchsorted(to, np.arange(buckets + 1))
+        some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        return pd.DataFrame({"bucket": some, "c": part["c"].iloc[0], "hashes": [a[cuts[b] : cuts[b + 1]].tobytes() for b in some], "twice": [np.packbits(twice[cuts[b] : cuts[b + 1]]).tobytes() for b in some]})
+
+    def answer(part: pd.DataFrame) -> pd.DataFrame:
+        lists = [np.frombuffer(h, np.uint64) for h in part["hashes"]]
+        twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(h)) for t, h in zip(part["twice"], lists)]).astype(bool)
+        _, code, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        again = count > 1
+        again[code[twice]] = True
+        flags = again[code]
+        ends = np.cumsum([len(h) for h in lists])
+        return pd.DataFrame({"c": part["c"], "bucket": part["bucket"], "flags": [np.packbits(flags[e - len(h) : e]).tobytes() for h, e in zip(lists, ends)], "n": [len(h) for h in lists]})
+
+    sent = rows.groupBy("c").applyInPandas(send, "bucket int, c int, hashes binary, twice binary")
+    answers = kept(sent.groupBy("bucket").applyInPandas(answer, "c int, bucket int, flags binary, n int"), "repeat-answers")
+    _release(spark)
+
+    def cut(key, part: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
+        columns = ["h", "s", "segment", "k", "t", "at"]
+        if not len(part) or not len(flags):
+            return pd.DataFrame(columns=columns)
+        part = sort(part)
+        texts = list(part["body"])
+        ids, marks = part["k"].to_numpy(np.int64), part["t"].to_numpy(np.int64)
+        owner, offset, m, anchor = stretches(texts, width)
+        flags = flags.sort_values("bucket")
+        again = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for f, n in zip(flags["flags"], flags["n"])]).astype(bool)
+        hit = again[np.searchsorted(_chunk_anchors(ids, owner, anchor)[0], anchor)]
+        owner, offset, m, anchor = owner[hit], offset[hit], m[hit], anchor[hit].view(np.int64)
+        pieces = [texts[o][a : a + n + width - 1] for o, a, n in zip(owner.tolist(), offset.tolist(), m.tolist())]
+        marks_of = np.fromiter((int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in pieces), np.int64, len(pieces))
+        spots = pd.DataFrame({"h": anchor, "s": marks_of, "segment": None, "k": ids[owner], "t": marks[owner], "at": offset})
+        # The chunk is in order of id, so the first of equal segments has the least id.
+        firsts = spots.assign(segment=pieces).drop_duplicates(["h", "s"])
+        firsts["at"] = -1
+        return pd.concat([spots, firsts], ignore_index=True)[columns]
+
+    spots = rows.groupBy("c").cogroup(answers.groupBy("c")).applyInPandas(cut, "h long, s long, segment binary, k long, t long, at int")
+    spots = kept(spots, "repeat-segments")
+    _release(spark)
+    segments = spots.where("segment is not null").groupBy("h", "s", "segment").agg(F.min("k").alias("k"))
+    amount = spots.agg(F.coalesce(F.sum(F.length("segment")), F.lit(0)).alias("n")).first()["n"]
+    shards = max(parts, -(-amount // SHARD_BYTES))
+    segments = segments.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        """For each segment, runs of windows with the least id that has them."""
+        part = part.sort_values(["h", "s"], kind="stable")
+        h, k = part["h"].to_numpy(np.int64), part["k"].to_numpy(np.int64)
+        body = list(part["segment"])
+        m = np.fromiter((len(b) - width + 1 for b in body), np.int64, len(body))
+        begin = np.cumsum(m) - m
+        least = np.repeat(k, m)
+        _, code, count = np.unique(h, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(count[code] > 1)  # an anchor with one segment is in order as it is
+        if len(shared):
+            seg, offset, cls = window_classes([body[i] for i in shared], width)
+            seg = shared[seg]
+            first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+            least[begin[seg] + offset] = np.minimum.reduceat(k[seg], first)[cls]
+        owner = np.repeat(np.arange(len(body)), m)
+        new = np.ones(len(least), bool)
+        new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(new)
+        run = np.diff(np.append(at, len(least)))
+        return pd.DataFrame({"h": h[owner[at]], "s": part["s"].to_numpy(np.int64)[owner[at]], "lo": at - begin[owner[at]], "n": run, "least": least[at]})
+
+    runs = segments.groupBy("shard").applyInPandas(settle, "h long, s long, lo int, n int, least long")
+    places = spots.where("segment is null").select("h", "s", "k", "t", "at")
+    met = places.join(runs, ["h", "s"]).where("least < k")
+    spans = met.select("k", "t", (F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("lo") + F.col("n") + width - 1).alias("b"))
+    spans = kept(spans, "repeat-spans")
+    _release(spark)
+    return spans
+
+
+def _release(spark) -> None:
+    """Let the driver drop its handles on shuffles that are done, so their files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(zip(starts, ends)):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    spans = removed_spans(docs, id_col, text_col, width)
+    lists = spans.groupBy("k", "t").agg(F.collect_list("a").alias("loomstead a"), F.collect_list("b").alias("loomstead b"))
+    lists = lists.withColumnsRenamed({"k": "loomstead k", "t": "loomstead t"})
+    body = F.col(text_col).cast("binary")
+    return docs.join(lists, (F.col(id_col).cast("long") == F.col("`loomstead k`")) & (F.xxhash64(body) == F.col("`loomstead t`")), "left").drop("loomstead k", "loomstead t")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept) for every row; ``kept`` holds the remaining bytes.
+
+    Null texts count as empty; rows without id stay whole; rows of one id do not touch each other; extra
+    columns are ignored; an empty table gives no rows.
+    """
+    found = _with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", width)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, body, lo, hi in zip(b["doc_id"].astype(object), b["body"], b["a"], b["b"]):
+                spans = _merged(list(lo), list(hi)) if lo is not None else []
+                edges = [0, *[x for s in spans for x in s], len(body)]
+                out.append((k, len(body), sum(y - x for x, y in spans), len(spans), b"".join(body[x:y] for x, y in zip(edges[::2], edges[1::2]))))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
+
+    ready = found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), F.col("`loomstead a`").alias("a"), F.col("`loomstead b`").alias("b"))
+    return ready.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """The input with its texts cut: a character goes if all of its bytes are covered.  ``n_chars`` follows if it is there."""
+    found = _with_spans(docs, id_col, text_col, width)
+
+    @F.pandas_udf("string")
+    def cut(body: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+        out = []
+        for t, a, b in zip(body, lo, hi):
+            if a is None or t is None:
+                out.append(t)
+                continue
+            raw = np.frombuffer(t.encode(), np.uint8)
+            stay = np.ones(len(raw), bool)
+            for x, y in _merged(list(a), list(b)):
+                stay[x:y] = False
+            lead = np.flatnonzero((raw & 0xC0) != 0x80)
+            width_ = np.diff(np.append(lead, len(raw)))
+            out.append(raw[np.repeat(np.maximum.reduceat(stay, lead), width_)].tobytes().decode())
+        return pd.Series(out)
+
+    text = F.when(F.col("`loomstead a`").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("`loomstead a`"), F.col("`loomstead b`")))
+    out = found.withColumn(text_col, text).drop("loomstead a", "loomstead b")
+    return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out
