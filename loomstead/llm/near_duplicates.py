@@ -145,7 +145,8 @@ def linked(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
 def verified_links(docs: DataFrame, family: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b): spanning links of each family, confirmed on the full shingle sets of whole texts."""
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    rows = rows.join(family, "node")
+    # The family table grows with the input, so it is never broadcast.
+    rows = rows.join(family.hint("merge"), "node")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
