@@ -3,6 +3,7 @@
 Every byte that lies in a string of ``width`` bytes which also starts in a document of smaller id goes;
 strings are judged on the input and never cross documents.
 
+0. Of documents with equal texts all but that of the least id go whole and take no further part.
 1. Each window of ``width`` bytes has an anchor: the least hash among its 24-byte strings.  Equal windows
    have equal anchors.  Chunks of documents send their anchors' hashes to hash buckets, packed; a bucket
    answers each chunk with a bit for every hash that some other document also has.  Windows whose anchor
@@ -33,7 +34,7 @@ from loomstead.llm.induced import window_classes
 
 WIDTH, GRAM = 50, 24
 #: Windows in a segment at most, and bytes of text in a chunk and in a sorting shard (about).
-LONGEST, CHUNK_BYTES, SHARD_BYTES = 64, 2 << 20, 3 << 20
+LONGEST, CHUNK_BYTES, SHARD_BYTES = 64, 1 << 20, 5 << 18
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -116,11 +117,19 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = max(parts, -(-total // (24 << 20)))
     rows = rows.withColumn("c", F.pmod(F.xxhash64("k", "t"), F.lit(chunks)).cast("int"))
 
-    def sort(part: pd.DataFrame) -> pd.DataFrame:
-        return part.sort_values(["k", "t"], kind="stable").drop_duplicates(["k", "t"])
+    digests = kept(rows.select("k", "t", "c", F.length("body").alias("size"), F.unhex(F.sha2("body", 256)).alias("digest")), "repeat-digests")
+    firsts = digests.groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    copies = kept(digests.join(firsts, "digest").where("k > first").select("k", "t", "c", "size"), "repeat-copies")
 
-    def send(part: pd.DataFrame) -> pd.DataFrame:
-        part = sort(part)
+    def sort(part: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["k", "t"], kind="stable").drop_duplicates(["k", "t"])
+        gone = set(zip(whole["k"].tolist(), whole["t"].tolist()))
+        return part[[x not in gone for x in zip(part["k"].tolist(), part["t"].tolist())]] if gone else part
+
+    def send(key, part: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
+        part = sort(part, whole)
+        if not len(part):
+            return pd.DataFrame(columns=["bucket", "c", "hashes", "twice"])
         owner, _, _, anchor = stretches(list(part["body"]), width)
         a, twice = _chunk_anchors(part["k"].to_numpy(np.int64), owner, anchor)
         to = (a >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
@@ -138,15 +147,15 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ends = np.cumsum([len(h) for h in lists])
         return pd.DataFrame({"c": part["c"], "bucket": part["bucket"], "flags": [np.packbits(flags[e - len(h) : e]).tobytes() for h, e in zip(lists, ends)], "n": [len(h) for h in lists]})
 
-    sent = rows.groupBy("c").applyInPandas(send, "bucket int, c int, hashes binary, twice binary")
+    sent = rows.groupBy("c").cogroup(copies.groupBy("c")).applyInPandas(send, "bucket int, c int, hashes binary, twice binary")
     answers = kept(sent.groupBy("bucket").applyInPandas(answer, "c int, bucket int, flags binary, n int"), "repeat-answers")
     _release(spark)
 
-    def cut(key, part: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
+    def cut(key, part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         columns = ["h", "s", "segment", "k", "t", "at"]
+        part, flags = sort(part, found[found["bucket"] < 0]), found[found["bucket"] >= 0]
         if not len(part) or not len(flags):
             return pd.DataFrame(columns=columns)
-        part = sort(part)
         texts = list(part["body"])
         ids, marks = part["k"].to_numpy(np.int64), part["t"].to_numpy(np.int64)
         owner, offset, m, anchor = stretches(texts, width)
@@ -159,14 +168,16 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         spots = pd.DataFrame({"h": anchor, "s": marks_of, "segment": None, "k": ids[owner], "t": marks[owner], "at": offset})
         # The chunk is in order of id, so the first of equal segments has the least id.
         firsts = spots.assign(segment=pieces).drop_duplicates(["h", "s"])
-        firsts["at"] = -1
+        firsts["at"] = -firsts["segment"].str.len()
         return pd.concat([spots, firsts], ignore_index=True)[columns]
 
-    spots = rows.groupBy("c").cogroup(answers.groupBy("c")).applyInPandas(cut, "h long, s long, segment binary, k long, t long, at int")
+    told = answers.select("*", F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("t"))
+    told = told.unionByName(copies.select("k", "t", "c", F.lit(-1).alias("bucket")), allowMissingColumns=True)
+    spots = rows.groupBy("c").cogroup(told.groupBy("c")).applyInPandas(cut, "h long, s long, segment binary, k long, t long, at int")
     spots = kept(spots, "repeat-segments")
     _release(spark)
-    segments = spots.where("segment is not null").groupBy("h", "s", "segment").agg(F.min("k").alias("k"))
-    amount = spots.agg(F.coalesce(F.sum(F.length("segment")), F.lit(0)).alias("n")).first()["n"]
+    segments = spots.where("at < 0").groupBy("h", "s", "segment").agg(F.min("k").alias("k"))
+    amount = spots.where("at < 0").agg(F.coalesce(F.sum(-F.col("at")), F.lit(0)).alias("n")).first()["n"]
     shards = max(parts, -(-amount // SHARD_BYTES))
     segments = segments.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
 
@@ -193,10 +204,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pd.DataFrame({"h": h[owner[at]], "s": part["s"].to_numpy(np.int64)[owner[at]], "lo": at - begin[owner[at]], "n": run, "least": least[at]})
 
     runs = segments.groupBy("shard").applyInPandas(settle, "h long, s long, lo int, n int, least long")
-    places = spots.where("segment is null").select("h", "s", "k", "t", "at")
+    places = spots.where("at >= 0").select("h", "s", "k", "t", "at")
     met = places.join(runs, ["h", "s"]).where("least < k")
     spans = met.select("k", "t", (F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("lo") + F.col("n") + width - 1).alias("b"))
-    spans = kept(spans, "repeat-spans")
+    spans = kept(spans.unionByName(copies.select("k", "t", F.lit(0).alias("a"), F.col("size").alias("b"))), "repeat-spans")
     _release(spark)
     return spans
 
