@@ -171,8 +171,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         firsts["at"] = -firsts["segment"].str.len()
         return pd.concat([spots, firsts], ignore_index=True)[columns]
 
-    told = answers.select("*", F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("t"))
-    told = told.unionByName(copies.select("k", "t", "c", F.lit(-1).alias("bucket")), allowMissingColumns=True)
+    told = answers.select("c", "bucket", "flags", "n", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("t"))
+    told = told.union(copies.select("c", F.lit(-1), F.lit(b""), F.lit(0), "k", "t"))
     spots = rows.groupBy("c").cogroup(told.groupBy("c")).applyInPandas(cut, "h long, s long, segment binary, k long, t long, at int")
     spots = kept(spots, "repeat-segments")
     _release(spark)
