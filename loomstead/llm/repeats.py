@@ -8,10 +8,11 @@ strings are judged on the input and never cross documents.
    have equal anchors.  Chunks of documents send their anchors' hashes to hash buckets, packed; a bucket
    answers each chunk with a bit for every hash that some other document also has.  Windows whose anchor
    is in one document only cannot repeat and need no sorting.
-2. Stretches of windows with one repeated anchor are segments.  Equal segments become one, with the
-   least id among them, before anything is grouped by anchor.
-3. Segments meet by anchor in shards of bounded size.  Where an anchor has several segments, external
-   induced sorting brings equal windows together, and each window gets the least id that has it.
+2. Stretches of windows with one repeated anchor are segments.  In a second round of questions chunks
+   send digests of their segments.  An anchor with one segment everywhere needs no sorting: its
+   documents learn the least id that has it.  Of the others each segment's text is sent once.
+3. Those segments meet by anchor in shards of bounded size, where external induced sorting brings equal
+   windows together, and each window gets the least id that has it.
 4. Windows go back to the documents that hold them and are joined to removed spans.
 
 Only counts reach the driver.  Each step's result is written to the shared folder, so a lost executor
@@ -34,7 +35,7 @@ from loomstead.llm.induced import window_classes
 
 WIDTH, GRAM = 50, 24
 #: Windows in a segment at most, and bytes of text in a chunk and in a sorting shard (about).
-LONGEST, CHUNK_BYTES, SHARD_BYTES = 64, 1 << 20, 5 << 18
+LONGEST, CHUNK_BYTES, SHARD_BYTES = 64, 1 << 19, 1 << 20
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -126,15 +127,18 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         gone = set(zip(whole["k"].tolist(), whole["t"].tolist()))
         return part[[x not in gone for x in zip(part["k"].tolist(), part["t"].tolist())]] if gone else part
 
+    def dealt(h: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Buckets that ascending anchors fall into, and where each bucket begins."""
+        cuts = np.searchsorted((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+        return [b for b in range(buckets) if cuts[b] < cuts[b + 1]], cuts
+
     def send(key, part: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
         part = sort(part, whole)
         if not len(part):
             return pd.DataFrame(columns=["bucket", "c", "hashes", "twice"])
         owner, _, _, anchor = stretches(list(part["body"]), width)
         a, twice = _chunk_anchors(part["k"].to_numpy(np.int64), owner, anchor)
-        to = (a >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        cuts = np.searchsorted(to, np.arange(buckets + 1))
-        some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        some, cuts = dealt(a)
         return pd.DataFrame({"bucket": some, "c": part["c"].iloc[0], "hashes": [a[cuts[b] : cuts[b + 1]].tobytes() for b in some], "twice": [np.packbits(twice[cuts[b] : cuts[b + 1]]).tobytes() for b in some]})
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
@@ -147,37 +151,104 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ends = np.cumsum([len(h) for h in lists])
         return pd.DataFrame({"c": part["c"], "bucket": part["bucket"], "flags": [np.packbits(flags[e - len(h) : e]).tobytes() for h, e in zip(lists, ends)], "n": [len(h) for h in lists]})
 
+    whole = copies.select("c", F.lit(-1).alias("bucket"), F.lit(b"").alias("flags"), F.lit(0).alias("n"), "k", "t")
+    none = [F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("t")]
     sent = rows.groupBy("c").cogroup(copies.groupBy("c")).applyInPandas(send, "bucket int, c int, hashes binary, twice binary")
     answers = kept(sent.groupBy("bucket").applyInPandas(answer, "c int, bucket int, flags binary, n int"), "repeat-answers")
     _release(spark)
 
-    def cut(key, part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        columns = ["h", "s", "segment", "k", "t", "at"]
-        part, flags = sort(part, found[found["bucket"] < 0]), found[found["bucket"] >= 0]
+    def marked(texts: list[bytes], owner, offset, m) -> tuple[list[bytes], np.ndarray]:
+        pieces = [texts[o][a : a + n + width - 1] for o, a, n in zip(owner.tolist(), offset.tolist(), m.tolist())]
+        return pieces, np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=8).digest() for p in pieces]), np.int64)
+
+    def send_segments(key, part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        """The chunk's repeated anchors with a digest of each segment and the least id that has it here."""
+        columns = ["bucket", "c", "h", "s", "k"]
+        part, flags = sort(part, found[found["bucket"] < 0]), found[found["bucket"] >= 0].sort_values("bucket")
         if not len(part) or not len(flags):
             return pd.DataFrame(columns=columns)
-        texts = list(part["body"])
-        ids, marks = part["k"].to_numpy(np.int64), part["t"].to_numpy(np.int64)
+        texts, ids = list(part["body"]), part["k"].to_numpy(np.int64)
         owner, offset, m, anchor = stretches(texts, width)
-        flags = flags.sort_values("bucket")
         again = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for f, n in zip(flags["flags"], flags["n"])]).astype(bool)
         hit = again[np.searchsorted(_chunk_anchors(ids, owner, anchor)[0], anchor)]
-        owner, offset, m, anchor = owner[hit], offset[hit], m[hit], anchor[hit].view(np.int64)
-        pieces = [texts[o][a : a + n + width - 1] for o, a, n in zip(owner.tolist(), offset.tolist(), m.tolist())]
-        marks_of = np.fromiter((int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in pieces), np.int64, len(pieces))
-        spots = pd.DataFrame({"h": anchor, "s": marks_of, "segment": None, "k": ids[owner], "t": marks[owner], "at": offset})
-        # The chunk is in order of id, so the first of equal segments has the least id.
-        firsts = spots.assign(segment=pieces).drop_duplicates(["h", "s"])
-        firsts["at"] = -firsts["segment"].str.len()
-        return pd.concat([spots, firsts], ignore_index=True)[columns]
-
-    told = answers.select("c", "bucket", "flags", "n", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("t"))
-    told = told.union(copies.select("c", F.lit(-1), F.lit(b""), F.lit(0), "k", "t"))
-    spots = rows.groupBy("c").cogroup(told.groupBy("c")).applyInPandas(cut, "h long, s long, segment binary, k long, t long, at int")
+        owner, offset, m, anchor = owner[hit], offset[hit], m[hit], anchor[hit]
+        mark = marked(texts, owner, offset, m)[1]
+        order = np.lexsort((ids[owner], mark, anchor))
+        h, s, k = anchor[order], mark[order], ids[owner][order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+        h, s, k = h[new], s[new], k[new]
+        some, cuts = dealt(h)
+        cut_ = lambda x, b: x[cuts[b] : cuts[b + 1]].tobytes()
+        return pd.DataFrame({"bucket": some, "c": part["c"].iloc[0], "h": [cut_(h, b) for b in some], "s": [cut_(s, b) for b in some], "k": [cut_(k, b) for b in some]})
+
+    def answer_segments(part: pd.DataFrame) -> pd.DataFrame:
+        """For each segment sent: the least id; whether its anchor has others; whether this chunk is to send the text."""
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x in part["h"]])
+        s, k = (np.concatenate([np.frombuffer(x, np.int64) for x in part[c]]) for c in ("s", "k"))
+        size = np.array([len(x) // 8 for x in part["h"]])
+        order = np.lexsort((k, s, h))
+        new_h = np.ones(len(h), bool)
+        new_h[1:] = h[order][1:] != h[order][:-1]
+        new = new_h.copy()
+        new[1:] |= s[order][1:] != s[order][:-1]
+        seg, anchor = np.cumsum(new) - 1, np.cumsum(new_h) - 1
+        many = np.bincount(anchor[new])[anchor] > 1
+        code, least = np.zeros(len(h), np.uint8), np.empty(len(h), np.int64)
+        code[order] = np.where(many, 1 + new, 0)
+        least[order] = k[order][new][seg]
+        ends = np.cumsum(size)
+        with np.errstate(over="ignore"):
+            both = h * _BASE + s.view(np.uint64)
+        return pd.DataFrame({"c": part["c"], "bucket": part["bucket"], "h": part["h"], "both": [both[e - n : e].tobytes() for n, e in zip(size, ends)], "least": [least[e - n : e].tobytes() for n, e in zip(size, ends)], "code": [code[e - n : e].tobytes() for n, e in zip(size, ends)]})
+
+    flagged = answers.select("c", "bucket", "flags", "n", *none).union(whole)
+    sent = rows.groupBy("c").cogroup(flagged.groupBy("c")).applyInPandas(send_segments, "bucket int, c int, h binary, s binary, k binary")
+    answers = kept(sent.groupBy("bucket").applyInPandas(answer_segments, "c int, bucket int, h binary, both binary, least binary, code binary"), "repeat-segment-answers")
+    _release(spark)
+
+    def cut(key, part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        """Spans that are settled (kind 2); else the segments' places (kind 0) and, from one chunk each, their texts (kind 1)."""
+        columns = ["kind", "h", "s", "segment", "k", "t", "a", "b"]
+        part, told = sort(part, found[found["bucket"] < 0]), found[found["bucket"] >= 0]
+        if not len(part) or not len(told):
+            return pd.DataFrame(columns=columns)
+        texts = list(part["body"])
+        ids, marks = part["k"].to_numpy(np.int64), part["t"].to_numpy(np.int64)
+        owner, offset, m, anchor = stretches(texts, width)
+        asked = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in told["h"]]))
+        hit = asked[np.minimum(np.searchsorted(asked, anchor), len(asked) - 1)] == anchor
+        owner, offset, m, anchor = owner[hit], offset[hit], m[hit], anchor[hit]
+        both = np.concatenate([np.frombuffer(x, np.uint64) for x in told["both"]])
+        least = np.concatenate([np.frombuffer(x, np.int64) for x in told["least"]])
+        code = np.concatenate([np.frombuffer(x, np.uint8) for x in told["code"]])
+        order = np.argsort(both)
+        both, least, code = both[order], least[order], code[order]
+        pieces, mark = marked(texts, owner, offset, m)
+        with np.errstate(over="ignore"):
+            mine = anchor * _BASE + mark.view(np.uint64)
+        at = np.minimum(np.searchsorted(both, mine), len(both) - 1)
+        hit = both[at] == mine
+        single = hit & (code[at] == 0) & (least[at] < ids[owner])
+        first = single.copy()
+        first[1:] &= ~(single[:-1] & (owner[1:] == owner[:-1]))
+        first |= single & np.concatenate([[True], offset[1:] != offset[:-1] + m[:-1]])
+        x = np.flatnonzero(first)
+        last = np.flatnonzero(single & np.concatenate([~single[1:] | first[1:], [True]]))
+        spans = pd.DataFrame({"kind": 2, "h": 0, "s": 0, "segment": None, "k": ids[owner[x]], "t": marks[owner[x]], "a": offset[x], "b": offset[last] + m[last] - 1 + width})
+        x = np.flatnonzero(hit & (code[at] > 0))
+        spots = pd.DataFrame({"kind": 0, "h": anchor[x].view(np.int64), "s": mark[x], "segment": None, "k": ids[owner[x]], "t": marks[owner[x]], "a": offset[x], "b": 0})
+        x = np.flatnonzero(hit & (code[at] == 2))
+        x = x[np.unique(mine[x], return_index=True)[1]]
+        bodies = pd.DataFrame({"kind": 1, "h": anchor[x].view(np.int64), "s": mark[x], "segment": [pieces[i] for i in x], "k": least[at[x]], "t": 0, "a": m[x] + width - 1, "b": 0})
+        return pd.concat([spans, spots, bodies], ignore_index=True)[columns]
+
+    told = answers.select("c", "bucket", "h", "both", "least", "code", *none).union(whole.select("c", "bucket", *["flags"] * 4, "k", "t"))
+    spots = rows.groupBy("c").cogroup(told.groupBy("c")).applyInPandas(cut, "kind int, h long, s long, segment binary, k long, t long, a int, b int")
     spots = kept(spots, "repeat-segments")
     _release(spark)
-    segments = spots.where("at < 0").groupBy("h", "s", "segment").agg(F.min("k").alias("k"))
-    amount = spots.where("at < 0").agg(F.coalesce(F.sum(-F.col("at")), F.lit(0)).alias("n")).first()["n"]
+    segments = spots.where("kind = 1").select("h", "s", "segment", "k")
+    amount = spots.where("kind = 1").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n")).first()["n"]
     shards = max(parts, -(-amount // SHARD_BYTES))
     segments = segments.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
 
@@ -189,13 +260,9 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         m = np.fromiter((len(b) - width + 1 for b in body), np.int64, len(body))
         begin = np.cumsum(m) - m
         least = np.repeat(k, m)
-        _, code, count = np.unique(h, return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(count[code] > 1)  # an anchor with one segment is in order as it is
-        if len(shared):
-            seg, offset, cls = window_classes([body[i] for i in shared], width)
-            seg = shared[seg]
-            first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-            least[begin[seg] + offset] = np.minimum.reduceat(k[seg], first)[cls]
+        seg, offset, cls = window_classes(body, width)
+        first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        least[begin[seg] + offset] = np.minimum.reduceat(k[seg], first)[cls]
         owner = np.repeat(np.arange(len(body)), m)
         new = np.ones(len(least), bool)
         new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
@@ -204,9 +271,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pd.DataFrame({"h": h[owner[at]], "s": part["s"].to_numpy(np.int64)[owner[at]], "lo": at - begin[owner[at]], "n": run, "least": least[at]})
 
     runs = segments.groupBy("shard").applyInPandas(settle, "h long, s long, lo int, n int, least long")
-    places = spots.where("at >= 0").select("h", "s", "k", "t", "at")
+    places = spots.where("kind = 0").select("h", "s", "k", "t", F.col("a").alias("at"))
     met = places.join(runs, ["h", "s"]).where("least < k")
     spans = met.select("k", "t", (F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("lo") + F.col("n") + width - 1).alias("b"))
+    spans = spans.union(spots.where("kind = 2").select("k", "t", "a", "b"))
     spans = kept(spans.unionByName(copies.select("k", "t", F.lit(0).alias("a"), F.col("size").alias("b"))), "repeat-spans")
     _release(spark)
     return spans
