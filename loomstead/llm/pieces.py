@@ -207,8 +207,9 @@ class PieceSampler:
         # Forward filtering in step with the position in the word.
         level = np.full(total, _LOST)
         level[node_of] = 0.0
-        by_pos = np.argsort(node_pos[z], kind="stable")
-        bounds = np.searchsorted(node_pos[z][by_pos], np.arange(1, int(length.max()) + 2))
+        place = node_pos[z].astype(np.uint16 if length.max() < 1 << 16 else np.int64)  # 16 bits are sorted by radix
+        by_pos = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[by_pos].astype(np.int64), np.arange(1, int(length.max()) + 2))
         score = np.empty(len(z))
         for t in range(1, int(length.max()) + 1):
             e = by_pos[bounds[t - 1] : bounds[t]]
@@ -253,14 +254,14 @@ def sampler(model_path: str, alpha: float) -> PieceSampler:
     return _SAMPLERS[model_path, alpha]
 
 
-def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_pieces, pieces_crc32, lossless, piece_ids[, decoded]) for each whole text.
+def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_ids: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_pieces, pieces_crc32, lossless[, piece_ids][, decoded]) for each whole text.
 
     Null texts count as empty ones: the added space alone.  The row key is the id (null: 0), so repeated rows get
     equal segmentations.  ``lossless`` says that decoding gave the text's bytes back.  Extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    schema = "doc_id long, n_bytes long, n_pieces long, pieces_crc32 long, lossless boolean, piece_ids array<int>" + ", decoded binary" * with_text
+    schema = "doc_id long, n_bytes long, n_pieces long, pieces_crc32 long, lossless boolean" + ", piece_ids array<int>" * with_ids + ", decoded binary" * with_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sp = sampler(model_path, alpha)
@@ -272,7 +273,7 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 11,
                 keys = part["doc_id"].fillna(0).to_numpy(np.int64)
                 got = sp.sample(texts, keys, seed)
                 back = [sp.decode(g) for g in got]
-                out = {"doc_id": part["doc_id"].astype("Int64"), "n_bytes": [len(t) for t in texts], "n_pieces": [len(g) for g in got], "pieces_crc32": [zlib.crc32(g.astype("<u4").tobytes()) for g in got], "lossless": [x == t for x, t in zip(back, texts)], "piece_ids": [g.astype(np.int32) for g in got]}
-                yield pd.DataFrame(out | ({"decoded": back} if with_text else {}))
+                out = {"doc_id": part["doc_id"].astype("Int64"), "n_bytes": [len(t) for t in texts], "n_pieces": [len(g) for g in got], "pieces_crc32": [zlib.crc32(g.astype("<u4").tobytes()) for g in got], "lossless": [x == t for x, t in zip(back, texts)]}
+                yield pd.DataFrame(out | ({"piece_ids": [g.astype(np.int32) for g in got]} if with_ids else {}) | ({"decoded": back} if with_text else {}))
 
     return rows.mapInPandas(run, schema)

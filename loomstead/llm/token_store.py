@@ -149,6 +149,9 @@ class Shard:
         return self.part["ids"][int(a) : int(b)].astype("<u4")
 
 
+_MARKS = (".", ",", ";", ":", "!", "?")
+
+
 class ChunkEncoder:
     """Encodes whole texts through the tokenizers library, each distinct space-free chunk once.
 
@@ -168,7 +171,17 @@ class ChunkEncoder:
         self.kind = np.dtype("<u2") if self.plain.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {"": b""}
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
+        """A word with one mark behind it is two pre-tokens, and case is dropped: both need the plain word's ids only."""
+        parts = {}
+        for c in chunks:
+            low = c.lower() if c and max(c) <= "ÿ" else c
+            parts[c] = (low[:-1], low[-1]) if low[-1:] in _MARKS and low[:-1].isalpha() else (low, "")
+        self._encode_new(list({x for both in parts.values() for x in both if x not in self.cache}))
+        for c, (word, mark) in parts.items():
+            self.cache[c] = self.cache[word] + self.cache[mark]
+
+    def _encode_new(self, new: list[str]) -> None:
         odd = [c for c in new if "<|" in c]
         new = [c for c in new if "<|" not in c]
         for c in odd:
