@@ -149,18 +149,22 @@ class Shard:
         return self.part["ids"][int(a) : int(b)].astype("<u4")
 
 
-_MARKS = (".", ",", ";", ":", "!", "?")
+#: Marks that end a chunk as one pre-token of their own, however many follow each other.
+_MARKS = ".,;:!?%&#*$"
 
 
 class ChunkEncoder:
     """Encodes whole texts through the tokenizers library, each distinct space-free chunk once.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    chunks in order.  New chunks are encoded together, divided by a special token.  The cache is
-    emptied when it holds ``most`` chunks, which bounds the memory.
+    chunks in order.  It also drops case, so Latin-1 texts are lower-cased first.  A word with marks
+    behind it is two pre-tokens, of which the word is encoded once.  New words go through the
+    tokenizer together with a space between, and are told apart by the ids that end a word; other
+    new chunks are divided by a special token.  What was used since the cache last held ``most``
+    chunks stays, which bounds the memory.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -168,27 +172,60 @@ class ChunkEncoder:
         self.plain.encode_special_tokens = True
         self.mark = "<|endoftext|>"
         self.mark_id = self.split.token_to_id(self.mark)
-        self.kind = np.dtype("<u2") if self.plain.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocab = self.plain.get_vocab()
+        self.kind = np.dtype("<u2") if len(vocab) <= 1 << 16 else np.dtype("<u4")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> None:
-        """A word with one mark behind it is two pre-tokens, and case is dropped: both need the plain word's ids only."""
-        parts = {}
+    def _unknown(self, chunks: set[str]) -> list[str]:
+        """The chunks to encode; those of the older generation move to the younger one."""
+        new = []
         for c in chunks:
-            low = c.lower() if c and max(c) <= "ÿ" else c
-            parts[c] = (low[:-1], low[-1]) if low[-1:] in _MARKS and low[:-1].isalpha() else (low, "")
-        self._encode_new(list({x for both in parts.values() for x in both if x not in self.cache}))
-        for c, (word, mark) in parts.items():
-            self.cache[c] = self.cache[word] + self.cache[mark]
+            if c not in self.cache:
+                if c in self.old:
+                    self.cache[c] = self.old[c]
+                else:
+                    new.append(c)
+        return new
 
-    def _encode_new(self, new: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
+        pairs, words, rest = [], set(), set()
+        for c in chunks:
+            word = c.rstrip(_MARKS)
+            if word.isalpha() and max(word) <= "ÿ":
+                words.add(word)
+                if len(word) < len(c):
+                    pairs.append((c, word, c[len(word) :]))
+                    rest.add(c[len(word) :])
+            else:
+                rest.add(c)
+        self._encode_words(self._unknown(words))
+        self._encode_rest(self._unknown(rest))
+        cache = self.cache
+        for c, word, marks in pairs:
+            cache[c] = cache[word] + cache[marks]
+
+    def _encode_words(self, new: list[str]) -> None:
+        w = self.kind.itemsize
+        for k in range(0, len(new), 500):
+            part = new[k : k + 500]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * w).tolist()
+            if len(ends) != len(part):
+                raise ValueError("a word is not one pre-token of this tokenizer")
+            raw = ids.tobytes()
+            self.cache.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends))))
+
+    def _encode_rest(self, new: list[str]) -> None:
         odd = [c for c in new if "<|" in c]
         new = [c for c in new if "<|" not in c]
         for c in odd:
             self.cache[c] = np.array(self.plain.encode(c, add_special_tokens=False).ids, self.kind).tobytes()
         for k in range(0, len(new), 2000):
             part = new[k : k + 2000]
-            ids = np.array(self.split.encode(self.mark.join(part), add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.split.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(ids == self.mark_id)
             raw, w = ids.tobytes(), self.kind.itemsize
             ends = [*(cuts * w).tolist(), len(raw)]
@@ -197,17 +234,25 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Raw little-endian ids of each text, without an end id."""
-        chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        chunks = [_lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.cache) > self.most:
-            self.cache = {"": b""}
-        have = self.cache
-        new = list({c for d in chunks for c in d if c not in have})
+            self.cache, self.old = {"": b""}, self.cache
+        new = self._unknown(set().union(*chunks))
         if new:
             self._learn(new)
         get = self.cache.__getitem__
         return [b"".join(map(get, d)) for d in chunks]
 
 
+def _lowered(text: str) -> str:
+    """Lower case where Python's and the tokenizer's lower-casing and composing agree: in Latin-1 texts."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
