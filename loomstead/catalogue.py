@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstead.operators import contexts as C
 from loomstead.operators import graph as G
 from loomstead.operators import joins as J
 from loomstead.plans.shared_sql import Q
@@ -98,6 +99,34 @@ def taint_walk(spark, sf_dir):
     return G.fixpoint(start, hop, ["node", "lo", "hi"], 6).select("node", "lo", "hi")
 
 
+def _calls(spark, sf_dir):
+    """(edges with call and return kinds, starts) over suppliers and parts."""
+    g = _relation(spark, sf_dir, "call_graph").persist()
+    return g, g.where("src % 20 = 0").select(F.col("src").alias("node")).distinct()
+
+
+def context_reach(spark, sf_dir):
+    """Nodes with the innermost four call sites, within six hops of a start."""
+    found = C.context_reach(*_calls(spark, sf_dir), depth=4, rounds=6)
+    return found.select("start", "node", F.array_join("stack", ",").alias("stack"), F.col("level").alias("hops"))
+
+
+def summary_reach(spark, sf_dir):
+    """Nodes each start reaches over matched calls and returns and open calls."""
+    return C.summary_reach(*_calls(spark, sf_dir)).select("start", "node")
+
+
+#: Products and what precedes their version in a text.
+PINS = {"licence": "[Ll]icen[cs]e[^0-9]{0,12}([0-9]+[.]?[0-9]*)", "network": "([0-9]{1,3}[.][0-9]{1,3})[.][0-9]{1,3}[.][0-9]{1,3}", "token": "token *= *[^A-Za-z0-9]([A-Za-z0-9]{4})"}
+
+
+def pin_extract(spark, sf_dir):
+    """Distinct (document, product, version) by a table of patterns, in one pass over the texts."""
+    hits = F.array(*[F.struct(F.lit(name).alias("product"), F.regexp_extract_all("text", F.lit(pattern), 1).alias("versions")) for name, pattern in PINS.items()])
+    found = _documents(spark, sf_dir).select("doc_id", F.explode(hits).alias("h"))
+    return found.select("doc_id", "h.product", F.explode("h.versions").alias("version")).distinct()
+
+
 def tokenize_count(spark, sf_dir):
     """The words of every text with their counts."""
     words = _documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), 1)).alias("token"))
@@ -132,7 +161,16 @@ def must_bit_and(spark, sf_dir):
 
 
 _STARTS = "starts AS (SELECT DISTINCT src AS node FROM graph WHERE src % 20 = 0)"
+_ROUNDS = 6
 _DUCK = {
+    "context_reach": f""", {_STARTS.replace("graph", "call_graph")}, r AS (SELECT node AS start, node, CAST([] AS BIGINT[]) AS stack, 0 AS hops FROM starts UNION
+ SELECT r.start, g.dst, CASE g.kind WHEN 'call' THEN list_append(r.stack, g.site)[-4:] WHEN 'return' THEN r.stack[:greatest(len(r.stack) - 1, 0)] ELSE r.stack END, r.hops + 1
+ FROM r JOIN call_graph g ON g.src = r.node WHERE r.hops < 6 AND (g.kind <> 'return' OR len(r.stack) = 0 OR r.stack[-1] = g.site))
+ SELECT start, node, array_to_string(stack, ',') AS stack, min(hops) AS hops FROM r GROUP BY start, node, stack""",
+    "summary_reach": f", {_STARTS.replace('graph', 'call_graph')}, entries AS (SELECT DISTINCT dst AS node FROM call_graph WHERE kind = 'call'), s0 AS (SELECT DISTINCT src, dst FROM call_graph WHERE kind = 'plain')"
+    + "".join(f", p{k} AS (SELECT node AS start, node FROM entries UNION SELECT p.start, s.dst FROM p{k} p JOIN s{k} s ON s.src = p.node), s{k + 1} AS MATERIALIZED (SELECT src, dst FROM s{k} UNION SELECT c.src, b.dst FROM call_graph c JOIN p{k} p ON p.start = c.dst JOIN call_graph b ON b.src = p.node AND b.site = c.site WHERE c.kind = 'call' AND b.kind = 'return')" for k in range(_ROUNDS))
+    + f", ahead AS (SELECT src, dst FROM s{_ROUNDS} UNION SELECT src, dst FROM call_graph WHERE kind = 'call'), r AS (SELECT node AS start, node FROM starts UNION SELECT r.start, a.dst FROM r JOIN ahead a ON a.src = r.node) SELECT start, node FROM r",
+    "pin_extract": " SELECT DISTINCT doc_id, product, version FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS product, unnest(regexp_extract_all(text, '{pattern}', 1)) AS version FROM documents" for name, pattern in PINS.items()) + ") x",
     "first_match_join": "SELECT p_partkey, l_suppkey, quantity FROM (SELECT l_partkey AS p_partkey, l_suppkey, min(l_quantity) AS quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY min(l_quantity), l_suppkey) AS nth FROM lineitem GROUP BY l_partkey, l_suppkey) x WHERE nth = 1",
     "multilevel_pairing": """, d AS (SELECT doc_id AS id, sha256(text) AS digest, lang, n_chars FROM documents),
  a0 AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY id) AS nth FROM d WHERE id % 2 = 0), b0 AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY id) AS nth FROM d WHERE id % 2 = 1),
@@ -155,7 +193,7 @@ _DUCK = {
     + "".join(f", f{k} AS (SELECT n.node, coalesce(bit_and((f.bits & (255 - (1 << (g.src % 8)))) | (1 << (g.dst % 8))), 0)::BIGINT AS bits FROM nodes n LEFT JOIN graph g ON g.dst = n.node LEFT JOIN f{k - 1} f ON f.node = g.src GROUP BY n.node)" for k in (1, 2, 3))
     + " SELECT node, bits FROM f3",
 }
-_FRAMES = (first_match_join, multilevel_pairing, entry_reach, shortest_trace, reverse_reach, dead_nodes, all_routes, refusal_walk, taint_walk, tokenize_count, ipv4_routable, operand_split, must_bit_and)
+_FRAMES = (first_match_join, multilevel_pairing, entry_reach, shortest_trace, reverse_reach, dead_nodes, all_routes, refusal_walk, taint_walk, context_reach, summary_reach, pin_extract, tokenize_count, ipv4_routable, operand_split, must_bit_and)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint where a checkpoint folder is set; else keep the rows."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()
+
+
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], rounds: int | None = None) -> DataFrame:
     """Rows reached from ``start`` by repeated ``step`` (which adds ``level``), each key at its first level.
 
     Only new rows are joined again.  Checkpoints cut the lineage each round where a checkpoint folder is set.
     """
-    spark = start.sparkSession
-    reliable = spark.sparkContext.getCheckpointDir() is not None
-    hold = lambda df: df.checkpoint() if reliable else df.persist()
     seen = hold(start.dropDuplicates(keys).withColumn("level", F.lit(0)))
     frontier, level = seen, 0
     while rounds is None or level < rounds:
