@@ -110,14 +110,17 @@ class PieceSampler:
         left = length[word] - pos
         # Equal words share one lattice; a word with skipped bytes is its own.
         ids = self._same(buf, skip, starts, length)
-        _, chosen, inverse = np.unique(ids, return_index=True, return_inverse=True)
+        by_word = np.argsort(ids)
+        new = np.concatenate([[True], ids[by_word][1:] != ids[by_word][:-1]])
+        chosen, inverse = by_word[new], np.empty(len(ids), np.int64)
+        inverse[by_word] = np.cumsum(new) - 1
         cum, tail, piece, node_edges, node_of = self._lattice(buf, skip, starts[chosen], length[chosen])
         # Backward sampling for every word at once.
         doc = np.searchsorted(begin, starts, side="right") - 1
         key = _mix(keys.astype(np.uint64)[doc] ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) + (starts - begin[doc]).astype(np.uint64)
         at = length.copy()
-        live = np.arange(len(starts))
-        out_pos, out_id = [], []
+        live = by_word  # equal words side by side, so that lookups stay near each other
+        out = np.full(n, -1, np.int32)
         base = node_of[inverse]
         with np.errstate(over="ignore"):
             while len(live):
@@ -127,12 +130,10 @@ class PieceSampler:
                 e = np.searchsorted(cum, node + u, side="right")
                 e = np.clip(e, lo, hi - 1)
                 at[live] = tail[e]
-                out_pos.append(starts[live] + tail[e])
-                out_id.append(piece[e])
-                live = live[at[live] > 0]
-        where, what = np.concatenate(out_pos), np.concatenate(out_id)
-        order = np.argsort(where, kind="stable")
-        where, what = where[order], what[order]
+                out[starts[live] + tail[e]] = piece[e]
+                live = live[tail[e] > 0]
+        where = np.flatnonzero(out >= 0)
+        what = out[where].astype(piece.dtype)
         return np.split(what, np.searchsorted(where, begin[1:]))
 
     @staticmethod
@@ -154,13 +155,14 @@ class PieceSampler:
         left = np.repeat(length, length) - pos
         src = np.repeat(node_of, length) + pos
         # Character starts only; the bytes of a character without a piece are byte edges.
-        lead = (buf[spot] & 0xC0) != 0x80
+        b, hidden = buf[spot], skip[spot]
+        column, masked = self.column[b], bool(hidden.any())
+        lead = (b & 0xC0) != 0x80
         edges_from, edges_to, edges_id, edges_pos = [], [], [], []
-        alive = np.flatnonzero(lead & ~skip[spot])
+        alive = np.flatnonzero(lead & ~hidden)
         state = np.zeros(len(alive), np.int64)
         wide = self.step.shape[1]
         char = np.ones(len(spot), np.int64)
-        b = buf[spot]
         char[b >= 0xC0] = 2
         char[b >= 0xE0] = 3
         char[b >= 0xF0] = 4
@@ -168,21 +170,25 @@ class PieceSampler:
         whole = np.zeros(len(spot), bool)
         depth = 0
         while len(alive):
-            ok = left[alive] > depth
-            alive, state = alive[ok], state[ok]
-            state = self.flat[state * wide + self.column[buf[spot[alive] + depth]]].astype(np.int64)
-            ok = state > 0
             if depth:
-                ok &= ~skip[spot[alive] + depth]
+                ok = left.take(alive) > depth
+                alive, state = alive[ok], state[ok]
+            # The bytes of a word lie side by side here too.
+            state = self.flat.take(state * wide + column.take(alive + depth)).astype(np.int64)
+            ok = state > 0
+            if depth and masked:
+                ok &= ~hidden[alive + depth]
             alive, state = alive[ok], state[ok]
             depth += 1
-            end = self.ends[state]
+            end = self.ends.take(state)
             hit = end >= 0
-            edges_from.append(src[alive[hit]])
-            edges_to.append(src[alive[hit]] + depth)
+            met = alive[hit]
+            edges_from.append(src.take(met))
+            edges_to.append(edges_from[-1] + depth)
             edges_id.append(end[hit])
-            edges_pos.append(pos[alive[hit]])
-            whole[alive[hit & (char[alive] == depth)]] = True
+            edges_pos.append(pos.take(met))
+            if depth <= 4:
+                whole[met[char.take(met) == depth]] = True
         spelled = np.flatnonzero(lead & ~whole)
         odd = np.repeat(spelled, char[spelled])
         odd = odd + np.arange(len(odd)) - np.repeat(np.cumsum(char[spelled]) - char[spelled], char[spelled])
@@ -201,26 +207,27 @@ class PieceSampler:
         a, z, i, p = map(np.concatenate, (edges_from, edges_to, edges_id, edges_pos))
         node_pos = np.arange(total) - np.repeat(node_of, n_nodes)
         order = np.argsort(z, kind="stable")
-        a, z, i, p = a[order], z[order], i[order].astype(np.int64), p[order]
-        w = self.weight[i]
-        first = np.searchsorted(z, np.arange(total + 1))
+        a, z, i, p = a.take(order), z.take(order), i.take(order).astype(np.int64), p.take(order)
+        w = self.weight.take(i)
+        first = np.concatenate([[0], np.cumsum(np.bincount(z, minlength=total))])
         # Forward filtering in step with the position in the word.
         level = np.full(total, _LOST)
         level[node_of] = 0.0
         place = node_pos[z].astype(np.uint16 if length.max() < 1 << 16 else np.int64)  # 16 bits are sorted by radix
         by_pos = np.argsort(place, kind="stable")
-        bounds = np.searchsorted(place[by_pos].astype(np.int64), np.arange(1, int(length.max()) + 2))
+        bounds = np.cumsum(np.bincount(place, minlength=int(length.max()) + 1))
         score = np.empty(len(z))
         for t in range(1, int(length.max()) + 1):
             e = by_pos[bounds[t - 1] : bounds[t]]
             if not len(e):
                 continue
-            s = level[a[e]] + w[e]
+            s = level.take(a.take(e)) + w.take(e)
             score[e] = s
-            cut = np.flatnonzero(np.concatenate([[True], z[e][1:] != z[e][:-1]]))
+            to = z.take(e)
+            cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
             top = np.maximum.reduceat(s, cut)
             group = np.repeat(np.arange(len(cut)), np.diff(np.concatenate([cut, [len(e)]])))
-            level[z[e][cut]] = top + np.log(np.add.reduceat(np.exp(s - top[group]), cut))
+            level[to[cut]] = top + np.log(np.add.reduceat(np.exp(s - top[group]), cut))
         share = np.exp(score - level[z])
         run = np.cumsum(share)
         base = np.concatenate([[0.0], run])[first[z]]
@@ -267,7 +274,7 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 11,
         sp = sampler(model_path, alpha)
         for b in batches:
             size = np.fromiter((len(t) + 64 for t in b["t"]), np.int64, len(b))
-            group = np.cumsum(size) // (1 << 19)
+            group = np.cumsum(size) // (1 << 18)
             for _, part in b.groupby(group):
                 texts = list(part["t"])
                 keys = part["doc_id"].fillna(0).to_numpy(np.int64)
