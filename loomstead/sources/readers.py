@@ -1,4 +1,4 @@
-"""Facts of job control, screen maps, resource definitions, database definitions and DDL.
+"""Facts of job control, screen maps, resource definitions, database definitions and DDL; other languages join in ``facts``.
 
 Each reader is a generator over one text; ``facts`` runs the reader of each file's kind in Arrow
 batches and gives one long table.  A text that a reader cannot follow gives a 'problem' fact.
@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.sources import cobol
+from loomstead.sources import cobol, hlasm, pli
+from loomstead.sources.macros import macro_statements, operand_field, operand_map, split_operands
 
 FACTS = "path string, kind string, fact string, line int, name string, parent string, value string, operands map<string,string>"
 
@@ -28,45 +29,6 @@ class Fact(NamedTuple):
     operands: dict[str, str] = {}
 
 
-def split_operands(text: str) -> list[str]:
-    """Operands between commas that lie outside quotes and parentheses."""
-    out, depth, quoted, word = [], 0, False, ""
-    for c in text:
-        if c == "'":
-            quoted = not quoted
-        elif not quoted:
-            depth += (c == "(") - (c == ")")
-            if c == "," and depth <= 0:
-                out.append(word)
-                word = ""
-                continue
-        word += c
-    return [*out, word] if out or word else []
-
-
-def operand_map(text: str) -> dict[str, str]:
-    """KEY=value operands by key, others by position (``$0``, ``$1``, ...); the last of a key holds."""
-    out, k = {}, 0
-    for part in split_operands(text):
-        key = re.match(r"([A-Z@#$][A-Z0-9@#$.]*)=(.*)", part, re.S)
-        if key:
-            out[key[1]] = key[2]
-        else:
-            out[f"${k}"] = part
-            k += 1
-    return out
-
-
-def operand_field(text: str) -> str:
-    """The operand field: up to the first blank outside quotes."""
-    quoted = False
-    for i, c in enumerate(text):
-        quoted ^= c == "'"
-        if c == " " and not quoted:
-            return text[:i]
-    return text
-
-
 def substitute(text: str, symbols: dict[str, str]) -> str:
     """&NAME and &NAME. by their values; unknown names stay."""
     return re.sub(r"&([A-Z@#$][A-Z0-9@#$]{0,7})[.]?", lambda m: symbols.get(m[1], m[0]), text)
@@ -135,25 +97,6 @@ def read_jcl(text: str) -> Iterator[Fact]:
                 yield Fact("data", line + k + 1, ddname, step, row)
 
 
-def macro_statements(text: str) -> Iterator[tuple[int, str, str, str]]:
-    """(line, label, operation, operands) of macro source: a mark in column 72 continues at column 16."""
-    lines, i = text.split("\n"), 0
-    while i < len(lines):
-        at, body = i + 1, lines[i].rstrip("\r")
-        i += 1
-        if not body.strip() or body[0] in "*":
-            continue
-        goes_on, body = len(body) > 71 and body[71] != " ", body[:71].rstrip()
-        while goes_on and i < len(lines):
-            more = lines[i].rstrip("\r")
-            i += 1
-            goes_on = len(more) > 71 and more[71] != " "
-            body = (body if body.endswith(",") else body) + more[15:71].rstrip()
-        found = re.match(r"(\S*)\s+(\S+)(?:\s+(.*))?$", body)
-        if found:
-            yield at, found[1], found[2], operand_field(found[3] or "")
-
-
 #: Macros that open a level, with the level's name; each other macro is a fact below the last one.
 _LEVELS = {"DFHMSD": 0, "DFHMDI": 1, "DFHMDF": 2, "DBD": 0, "DATASET": 1, "SEGM": 1, "FIELD": 2, "XDFLD": 2, "LCHILD": 2, "PCB": 0, "SENSEG": 1, "SENFLD": 2, "PSBGEN": 0}
 _NAMES = {"DFHMSD": "mapset", "DFHMDI": "map", "DFHMDF": "field", "SEGM": "segment", "PSBGEN": "psb"}
@@ -245,11 +188,15 @@ def read_ddl(text: str) -> Iterator[Fact]:
 READERS: dict[str, Callable[[str], Iterator[Fact]]] = {"jcl": read_jcl, "bms": read_macros, "ims": read_macros, "csd": read_csd, "db2": read_ddl}
 
 
+#: Readers in modules of their own, whose rows have the fields of a fact.
+FOREIGN = {"program": cobol.read, "copybook": cobol.read, "assembler": hlasm.read, "pli": pli.read}
+
+
 def _read(kind: str, text: str | None) -> Iterator[Fact]:
     if text is None:
         yield Fact("problem", 0, value="unread")
-    elif kind in ("program", "copybook"):
-        yield from (Fact(*row) for row in cobol.read(text))
+    elif kind in FOREIGN:
+        yield from (Fact(*row) for row in FOREIGN[kind](text))
     elif kind in READERS:
         yield from READERS[kind](text)
 
