@@ -166,7 +166,11 @@ def read(text: str) -> Iterator[Row]:
             i = end + 1
         elif following == "DIVISION":
             division, section, paragraph = word, None, None
-            i = sentence(i) + 1
+            end = sentence(i)
+            if word == "PROCEDURE":
+                using = [t[0] for t in toks[i + 2 : end] if t[0] not in ("USING", "BY", "REFERENCE", "VALUE", "RETURNING")]
+                yield "entry", line, program, None, " ".join(using), {}
+            i = end + 1
         elif word == "PROGRAM-ID":
             i += 1 + (following == ".")
             program = toks[i][0].strip("'\"").upper() if i < n else None
@@ -210,6 +214,8 @@ def read(text: str) -> Iterator[Row]:
             continue
         fresh = i > 0 and toks[min(i, n) - 1][0] == "." or i >= n
     layout(items)
+    record = None
     for it in items:
-        shown = {"LEVEL": it["level"], "PICTURE": it["picture"], "USAGE": it["usage"], "OCCURS": it["occurs"], "REDEFINES": it["redefines"], "OFFSET": it["off"], "SIZE": it["size"]}
+        record = it["name"] if it["level"] in (1, 77) or record is None else record
+        shown = {"RECORD": record, "LEVEL": it["level"], "PICTURE": it["picture"], "USAGE": it["usage"], "OCCURS": it["occurs"], "REDEFINES": it["redefines"], "OFFSET": it["off"], "SIZE": it["size"]}
         yield "item", it["line"], it["name"], it["parent"], it["value"], {k: str(v) for k, v in shown.items() if v not in (None, "")}
