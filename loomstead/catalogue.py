@@ -53,9 +53,9 @@ def entry_reach(spark, sf_dir):
 
 
 def shortest_trace(spark, sf_dir):
-    """Fewest hops from each start, up to eight."""
+    """Fewest hops from each start."""
     g = _relation(spark, sf_dir, "graph").persist()
-    found = G.reach(g, g.where("src % 20 = 0").select(F.col("src").alias("node")).distinct(), 8)
+    found = G.reach(g, g.where("src % 20 = 0").select(F.col("src").alias("node")).distinct())
     return found.select("start", "node", F.col("level").alias("hops"))
 
 
@@ -88,7 +88,7 @@ def refusal_walk(spark, sf_dir):
 
 
 def taint_walk(spark, sf_dir):
-    """Nodes with the byte range that arrives: each edge clips the range to its own, an empty one ends the walk; six hops."""
+    """Nodes with the byte range that arrives: each edge clips the range to its own, an empty one ends the walk."""
     g = _relation(spark, sf_dir, "graph").select("src", "dst", (F.col("dst") % 8).alias("cut_lo"), (F.col("src") % 8 + 8).alias("cut_hi")).persist()
     start = g.where("src % 20 = 0").select(F.col("src").alias("node"), F.lit(0).cast("long").alias("lo"), F.lit(16).cast("long").alias("hi")).distinct()
 
@@ -96,7 +96,7 @@ def taint_walk(spark, sf_dir):
         met = f.join(g, f["node"] == g["src"]).select(F.col("dst").alias("node"), F.greatest("lo", "cut_lo").alias("lo"), F.least("hi", "cut_hi").alias("hi"))
         return met.where("lo < hi")
 
-    return G.fixpoint(start, hop, ["node", "lo", "hi"], 6).select("node", "lo", "hi")
+    return G.fixpoint(start, hop, ["node", "lo", "hi"]).select("node", "lo", "hi")
 
 
 def _calls(spark, sf_dir):
@@ -106,8 +106,8 @@ def _calls(spark, sf_dir):
 
 
 def context_reach(spark, sf_dir):
-    """Nodes with the innermost four call sites, within six hops of a start."""
-    found = C.context_reach(*_calls(spark, sf_dir), depth=4, rounds=6)
+    """Nodes with the innermost four call sites and the fewest hops from a start."""
+    found = C.context_reach(*_calls(spark, sf_dir), depth=4)
     return found.select("start", "node", F.array_join("stack", ",").alias("stack"), F.col("level").alias("hops"))
 
 
@@ -151,22 +151,24 @@ def operand_split(spark, sf_dir):
 
 
 def must_bit_and(spark, sf_dir):
-    """Facts that hold on every way into a node: three rounds of intersection over predecessors."""
+    """Facts that hold on every way into a node: intersection over predecessors until no node changes."""
     g = _relation(spark, sf_dir, "graph").persist()
-    facts = g.select(F.col("src").alias("node")).union(g.select("dst")).distinct().withColumn("bits", F.lit(255).cast("long"))
-    for _ in range(3):
+    facts = G.hold(g.select(F.col("src").alias("node")).union(g.select("dst")).distinct().withColumn("bits", F.lit(255).cast("long")))
+    while True:
         into = g.join(facts, g["src"] == facts["node"]).groupBy("dst").agg(F.bit_and(F.col("bits").bitwiseAND(F.lit(255) - F.call_function("shiftleft", F.lit(1), (F.col("src") % 8).cast("int"))).bitwiseOR(F.call_function("shiftleft", F.lit(1), (F.col("dst") % 8).cast("int")))).alias("met"))
-        facts = facts.join(into, facts["node"] == into["dst"], "left").select("node", F.coalesce("met", F.lit(0).cast("long")).alias("bits"))
-    return facts
+        both = G.hold(facts.join(into, facts["node"] == into["dst"], "left").select("node", F.coalesce("met", F.lit(0).cast("long")).alias("bits"), (F.coalesce("met", F.lit(0)) != F.col("bits")).alias("changed")))
+        facts = both.select("node", "bits")
+        if both.where("changed").isEmpty():
+            return facts
 
 
 _STARTS = "starts AS (SELECT DISTINCT src AS node FROM graph WHERE src % 20 = 0)"
 _ROUNDS = 6
 _DUCK = {
-    "context_reach": f""", {_STARTS.replace("graph", "call_graph")}, r AS (SELECT node AS start, node, CAST([] AS BIGINT[]) AS stack, 0 AS hops FROM starts UNION
- SELECT r.start, g.dst, CASE g.kind WHEN 'call' THEN list_append(r.stack, g.site)[-4:] WHEN 'return' THEN r.stack[:greatest(len(r.stack) - 1, 0)] ELSE r.stack END, r.hops + 1
- FROM r JOIN call_graph g ON g.src = r.node WHERE r.hops < 6 AND (g.kind <> 'return' OR len(r.stack) = 0 OR r.stack[-1] = g.site))
- SELECT start, node, array_to_string(stack, ',') AS stack, min(hops) AS hops FROM r GROUP BY start, node, stack""",
+    "context_reach": f""", {_STARTS.replace("graph", "call_graph")}, r(start, node, stack, hops) USING KEY (start, node, stack) AS (SELECT node, node, CAST([] AS BIGINT[]), 0 FROM starts UNION
+ SELECT n.* FROM (SELECT DISTINCT r.start, g.dst AS node, CASE g.kind WHEN 'call' THEN list_append(r.stack, g.site)[-4:] WHEN 'return' THEN r.stack[:greatest(len(r.stack) - 1, 0)] ELSE r.stack END AS stack, r.hops + 1 AS hops
+ FROM r JOIN call_graph g ON g.src = r.node WHERE g.kind <> 'return' OR len(r.stack) = 0 OR r.stack[-1] = g.site) n ANTI JOIN recurring.r s ON s.start = n.start AND s.node = n.node AND s.stack = n.stack)
+ SELECT start, node, array_to_string(stack, ',') AS stack, hops FROM r""",
     "summary_reach": f", {_STARTS.replace('graph', 'call_graph')}, entries AS (SELECT DISTINCT dst AS node FROM call_graph WHERE kind = 'call'), s0 AS (SELECT DISTINCT src, dst FROM call_graph WHERE kind = 'plain')"
     + "".join(f", p{k} AS (SELECT node AS start, node FROM entries UNION SELECT p.start, s.dst FROM p{k} p JOIN s{k} s ON s.src = p.node), s{k + 1} AS MATERIALIZED (SELECT src, dst FROM s{k} UNION SELECT c.src, b.dst FROM call_graph c JOIN p{k} p ON p.start = c.dst JOIN call_graph b ON b.src = p.node AND b.site = c.site WHERE c.kind = 'call' AND b.kind = 'return')" for k in range(_ROUNDS))
     + f", ahead AS (SELECT src, dst FROM s{_ROUNDS} UNION SELECT src, dst FROM call_graph WHERE kind = 'call'), r AS (SELECT node AS start, node FROM starts UNION SELECT r.start, a.dst FROM r JOIN ahead a ON a.src = r.node) SELECT start, node FROM r",
@@ -180,18 +182,17 @@ _DUCK = {
  a2 AS (SELECT id, lang, row_number() OVER (PARTITION BY lang ORDER BY id) AS nth FROM d WHERE id % 2 = 0 AND id NOT IN (SELECT base_id FROM m0) AND id NOT IN (SELECT base_id FROM m1)), b2 AS (SELECT id, lang, row_number() OVER (PARTITION BY lang ORDER BY id) AS nth FROM d WHERE id % 2 = 1 AND id NOT IN (SELECT head_id FROM m0) AND id NOT IN (SELECT head_id FROM m1))
  SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT a2.id, b2.id, 2 FROM a2 JOIN b2 ON a2.lang = b2.lang AND a2.nth = b2.nth""",
     "entry_reach": f", {_STARTS}, r AS (SELECT node AS start, node FROM starts UNION SELECT r.start, g.dst FROM r JOIN graph g ON g.src = r.node) SELECT start, node FROM r",
-    "shortest_trace": f", {_STARTS}, r AS (SELECT node AS start, node, 0 AS hops FROM starts UNION SELECT r.start, g.dst, r.hops + 1 FROM r JOIN graph g ON g.src = r.node WHERE r.hops < 8) SELECT start, node, min(hops) AS hops FROM r GROUP BY start, node",
+    "shortest_trace": f", {_STARTS}, r(start, node, hops) USING KEY (start, node) AS (SELECT node, node, 0 FROM starts UNION SELECT n.* FROM (SELECT DISTINCT r.start, g.dst AS node, r.hops + 1 AS hops FROM r JOIN graph g ON g.src = r.node) n ANTI JOIN recurring.r s ON s.start = n.start AND s.node = n.node) SELECT start, node, hops FROM r",
     "reverse_reach": ", r AS (SELECT dst AS node FROM graph WHERE dst % 10 = 0 UNION SELECT g.src FROM r JOIN graph g ON g.dst = r.node) SELECT node FROM r",
     "dead_nodes": f", {_STARTS}, r AS (SELECT node FROM starts UNION SELECT g.dst FROM r JOIN graph g ON g.src = r.node) SELECT src AS node FROM graph WHERE src NOT IN (SELECT node FROM r) UNION SELECT dst FROM graph WHERE dst NOT IN (SELECT node FROM r)",
     "all_routes": f", {_STARTS}, r AS (SELECT node FROM starts UNION SELECT g.dst FROM r JOIN graph g ON g.src = r.node), b AS (SELECT dst AS node FROM graph WHERE dst % 10 = 0 UNION SELECT g.src FROM b JOIN graph g ON g.dst = b.node) SELECT src, dst FROM graph WHERE src IN (SELECT node FROM r) AND dst IN (SELECT node FROM b)",
     "refusal_walk": ", kept AS (SELECT * FROM graph WHERE dst % 7 <> 0), r AS (SELECT DISTINCT src AS start, src AS node FROM kept WHERE src % 20 = 0 UNION SELECT r.start, g.dst FROM r JOIN kept g ON g.src = r.node) SELECT start, node FROM r",
-    "taint_walk": ", r AS (SELECT DISTINCT src AS node, 0::BIGINT AS lo, 16::BIGINT AS hi, 0 AS hops FROM graph WHERE src % 20 = 0 UNION SELECT g.dst, greatest(r.lo, g.dst % 8), least(r.hi, g.src % 8 + 8), r.hops + 1 FROM r JOIN graph g ON g.src = r.node WHERE r.hops < 6 AND greatest(r.lo, g.dst % 8) < least(r.hi, g.src % 8 + 8)) SELECT DISTINCT node, lo, hi FROM r",
+    "taint_walk": ", r AS (SELECT DISTINCT src AS node, 0::BIGINT AS lo, 16::BIGINT AS hi FROM graph WHERE src % 20 = 0 UNION SELECT g.dst, greatest(r.lo, g.dst % 8), least(r.hi, g.src % 8 + 8) FROM r JOIN graph g ON g.src = r.node WHERE greatest(r.lo, g.dst % 8) < least(r.hi, g.src % 8 + 8)) SELECT DISTINCT node, lo, hi FROM r",
     "tokenize_count": "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS token FROM documents) t GROUP BY token",
     "ipv4_routable": ", h AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')) AS address FROM lines), q AS (SELECT *, split_part(address, '.', 1)::INT AS a, split_part(address, '.', 2)::INT AS b, split_part(address, '.', 3)::INT AS c, split_part(address, '.', 4)::INT AS d FROM h) SELECT doc_id, address, min(line_no) AS first_line FROM q WHERE greatest(a, b, c, d) <= 255 AND a NOT IN (0, 10, 127) AND a < 224 AND NOT (a = 172 AND b BETWEEN 16 AND 31) AND NOT (a = 192 AND b = 168) AND NOT (a = 169 AND b = 254) AND NOT (a = 100 AND b BETWEEN 64 AND 127) GROUP BY doc_id, address",
     "operand_split": ", p AS (SELECT page_id, unnest(generate_series(0, len(regexp_split_to_array(url, '[/?&]')) - 1))::INT AS pos, unnest(regexp_split_to_array(url, '[/?&]')) AS operand FROM pages) SELECT page_id, pos, split_part(operand, '=', 1) AS k, CASE WHEN contains(operand, '=') THEN split_part(operand, '=', -1) END AS v FROM p WHERE operand <> ''",
-    "must_bit_and": ", nodes AS (SELECT src AS node FROM graph UNION SELECT dst FROM graph), f0 AS (SELECT node, 255::BIGINT AS bits FROM nodes)"
-    + "".join(f", f{k} AS (SELECT n.node, coalesce(bit_and((f.bits & (255 - (1 << (g.src % 8)))) | (1 << (g.dst % 8))), 0)::BIGINT AS bits FROM nodes n LEFT JOIN graph g ON g.dst = n.node LEFT JOIN f{k - 1} f ON f.node = g.src GROUP BY n.node)" for k in (1, 2, 3))
-    + " SELECT node, bits FROM f3",
+    "must_bit_and": """, nodes AS (SELECT src AS node FROM graph UNION SELECT dst FROM graph), f(node, bits) USING KEY (node) AS (SELECT node, 255::BIGINT FROM nodes UNION
+ SELECT n.node, n.bits FROM (SELECT n.node, coalesce(bit_and((p.bits & (255 - (1 << (g.src % 8)))) | (1 << (g.dst % 8))), 0)::BIGINT AS bits FROM nodes n LEFT JOIN graph g ON g.dst = n.node LEFT JOIN recurring.f p ON p.node = g.src GROUP BY n.node) n JOIN recurring.f o ON o.node = n.node WHERE o.bits <> n.bits) SELECT node, bits FROM f""",
 }
 _FRAMES = (first_match_join, multilevel_pairing, entry_reach, shortest_trace, reverse_reach, dead_nodes, all_routes, refusal_walk, taint_walk, context_reach, summary_reach, pin_extract, tokenize_count, ipv4_routable, operand_split, must_bit_and)
 

@@ -46,7 +46,8 @@ def summaries(edges: DataFrame) -> DataFrame:
     steps = edges.where("kind = 'plain'").select("src", "dst").distinct()
     while True:
         inside = G.reach(steps, entries).select("start", "node")
-        over = entry.join(inside, "start").join(back, "node").where("site = back_site").select(F.col("caller").alias("src"), F.col("resume").alias("dst"))
+        ends = entry.join(inside, "start").select("caller", "site", "node").distinct()
+        over = ends.join(back, "node").where("site = back_site").select(F.col("caller").alias("src"), F.col("resume").alias("dst"))
         fresh = G.hold(over.distinct().join(steps, ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
             return steps
