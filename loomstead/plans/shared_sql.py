@@ -13,7 +13,7 @@ Q["duplicate_content"] = "SELECT SHA(text) AS digest, count(*) AS copies, min(do
 Q["shadowed_names"] = "SELECT name, count(*) AS holders, count(DISTINCT SHA(html)) AS contents FROM (SELECT html, regexp_replace(url, '^.*/', '') AS name FROM pages) p GROUP BY name HAVING count(*) > 1 AND count(DISTINCT SHA(html)) > 1"
 Q["format_ratio"] = "SELECT doc_id, CAST(sum(CASE WHEN RX(line, '^[A-Z]') THEN 1 ELSE 0 END) AS BIGINT) AS upper_lines, count(*) AS n_lines, CASE WHEN 2 * sum(CASE WHEN RX(line, '^[A-Z]') THEN 1 ELSE 0 END) >= count(*) THEN 'fixed' ELSE 'free' END AS format FROM lines GROUP BY doc_id"
 Q["card_columns"] = "SELECT lang, count(DISTINCT substring(line, 1, 6)) AS sequences, count(DISTINCT substring(line, 7, 1)) AS indicators, CAST(sum(length(substring(line, 8, 65))) AS BIGINT) AS text_chars, CAST(sum(length(substring(line, 73, 8))) AS BIGINT) AS ident_chars FROM lines GROUP BY lang"
-Q["canonical_text"] = "SELECT doc_id, line_no, lower(trim(regexp_replace(line, '[ ]+', ' ', 'g'))) AS canonical FROM lines WHERE line_no <= 3"
+Q["canonical_text"] = "SELECT doc_id, line_no, lower(trim(regexp_replace(line, '[ ]+', ' ', 'g'))) AS canonical FROM lines"
 Q["secret_mask"] = """SELECT doc_id, line_no, regexp_replace(line, 'token *= *"[^"]*"', 'token = "***"', 'g') AS masked FROM lines WHERE RX(line, 'token *= *"')"""
 Q["symbol_substitute"] = "SELECT p_partkey, replace(replace(replace(p_type, 'STANDARD', '&STD'), 'SMALL', '&SML'), 'ECONOMY', '&ECO') AS symbolic FROM part"
 Q["picture_digits"] = "SELECT p_partkey, length(regexp_replace(p_brand, '[^0-9]', '', 'g')) AS digits, CAST(concat('0', regexp_replace(p_brand, '[^0-9]', '', 'g')) AS BIGINT) AS value FROM part"
