@@ -81,7 +81,7 @@ Q["canonical_order"] = "SELECT row_number() OVER (ORDER BY rule, path, line) AS
 Q["advice_order"] = "SELECT row_number() OVER (ORDER BY CASE m.sev WHEN 'crit' THEN 0 WHEN 'high' THEN 1 WHEN 'med' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, f.rule, f.path, f.line) AS place, m.sev, f.rule, f.path, f.line FROM findings0 f JOIN rules_meta m ON m.rule = f.rule"
 Q["hash_chain_verify"] = ", c AS (SELECT conv_id, turn, SHA(text) AS digest, lag(SHA(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev FROM conversations) SELECT conv_id, count(*) AS records, max(SHA(concat(coalesce(prev, ''), digest))) AS last_link, bool_and(prev IS NOT NULL OR turn = 0) AS whole FROM c GROUP BY conv_id"
 Q["sarif_artifact_index"] = ", p AS (SELECT DISTINCT path FROM findings0), r AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS artifact FROM p) SELECT f.rule, f.path, f.line, r.artifact FROM findings0 f JOIN r ON r.path = f.path"
-Q["explain_lines"] = "SELECT f.rule, f.path, f.line AS finding_line, l.line_no, l.line AS text FROM findings0 f JOIN lines l ON l.doc_id = f.doc_id AND l.line_no BETWEEN f.line - 2 AND f.line + 2 WHERE f.rule <> 'noise-run'"
+Q["explain_lines"] = "SELECT f.rule, f.path, f.line AS finding_line, l.line_no, l.line AS text FROM findings0 f JOIN lines l ON l.doc_id = f.doc_id AND l.line_no BETWEEN f.line - 2 AND f.line + 2"
 Q["trace_elide"] = ", n AS (SELECT doc_id, line_no, line, count(*) OVER (PARTITION BY doc_id) AS total FROM lines) SELECT doc_id, line_no, CASE WHEN total > 10 AND line_no = 4 THEN '...' ELSE line END AS line FROM n WHERE total <= 10 OR line_no <= 4 OR line_no > total - 3"
 Q["positional_scope"] = "SELECT conv_id, turn, role, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS last_user FROM conversations"
 del Q["positional_scope"]

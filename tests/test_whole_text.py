@@ -38,3 +38,9 @@ LINES = [(i, k + 1, line) for i, t in enumerate(TEXTS) for k, line in enumerate(
 
 def test_every_line_is_canonicalised(spark, folder):
     assert rows(spark, folder, "canonical_text") == sorted((i, k, re.sub(" +", " ", line).strip().lower()) for i, k, line in LINES)
+
+
+def test_every_finding_is_explained(spark, folder):
+    got = rows(spark, folder, "explain_lines")
+    hits = [("noise-run", 1, 2), ("literal-token", 1, 6)]
+    assert got == sorted((rule, f"s/{i}", at, k, line) for rule, i, at in hits for j, k, line in LINES if j == i and at - 2 <= k <= at + 2)
