@@ -39,7 +39,7 @@ Q["anti_join"] = "SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1
 Q["array_except_grants"] = ", a AS (SELECT DISTINCT o_custkey, o_orderstatus FROM orders WHERE year(o_orderdate) = 1995), b AS (SELECT DISTINCT o_custkey, o_orderstatus FROM orders WHERE year(o_orderdate) = 1996) SELECT a.o_custkey, [[a.o_orderstatus]] AS unused FROM a LEFT JOIN b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = b.o_orderstatus WHERE b.o_custkey IS NULL GROUP BY a.o_custkey"
 Q["self_join_referback"] = "SELECT a.l_orderkey, a.l_linenumber, min(b.l_linenumber) AS refers_to FROM lineitem a LEFT JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber < a.l_linenumber AND (b.l_partkey = a.l_partkey OR b.l_suppkey = a.l_suppkey) GROUP BY a.l_orderkey, a.l_linenumber"
 Q["interval_overlap_join"] = ", s AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS hi, l_quantity AS w, l_discount FROM lineitem) SELECT a.l_orderkey, a.l_linenumber AS item, b.l_linenumber AS other FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND b.l_discount > 0.05 AND a.l_linenumber <> b.l_linenumber AND a.hi - a.w < b.hi + 5 AND b.hi - b.w < a.hi"
-Q["interval_contain_join"] = "SELECT b.item_id, d.doc_id, STRPOS(d.text, substring(b.text, 1, 60)) AS at FROM benchmark b JOIN documents d ON STRPOS(d.text, substring(b.text, 1, 60)) > 0"
+Q["interval_contain_join"] = "SELECT b.item_id, d.doc_id, STRPOS(d.text, b.text) AS at FROM benchmark b JOIN documents d ON STRPOS(d.text, b.text) > 0"
 Q["rule_meta_stamp"] = "SELECT f.rule, f.path, f.line, m.sev, m.evidence, m.cwe FROM findings0 f LEFT JOIN rules_meta m ON m.rule = f.rule"
 Q["compliance_matrix"] = ", clauses AS (SELECT * FROM (VALUES ('routable-address', 'A.1'), ('literal-token', 'A.2'), ('literal-token', 'B.7'), ('unknown-rule', 'C.1')) AS t(rule, clause)) SELECT coalesce(m.rule, c.rule) AS rule, c.clause, CASE WHEN c.rule IS NULL THEN 'unmapped' WHEN m.rule IS NULL THEN 'no rule' ELSE 'mapped' END AS state FROM rules_meta m FULL OUTER JOIN clauses c ON c.rule = m.rule"
 Q["baseline_apply"] = ", j AS (SELECT doc_id, quality, doc_id % 400 - 182 AS days_left FROM labels), f AS (SELECT * FROM findings0 WHERE rule = 'noise-run') SELECT state, count(*) AS n FROM (SELECT CASE WHEN j.doc_id IS NULL THEN 'open' WHEN f.doc_id IS NULL THEN 'stale' WHEN j.days_left <= 0 THEN 'expired' WHEN j.quality = 0 THEN 'refused' ELSE 'suppressed' END AS state FROM f FULL OUTER JOIN j ON j.doc_id = f.doc_id) s GROUP BY state"

@@ -44,3 +44,7 @@ def test_every_finding_is_explained(spark, folder):
     got = rows(spark, folder, "explain_lines")
     hits = [("noise-run", 1, 2), ("literal-token", 1, 6)]
     assert got == sorted((rule, f"s/{i}", at, k, line) for rule, i, at in hits for j, k, line in LINES if j == i and at - 2 <= k <= at + 2)
+
+
+def test_whole_passages_are_contained(spark, folder):
+    assert rows(spark, folder, "interval_contain_join") == [(1, 2, TEXTS[2].index(PASSAGE) + 1)]
