@@ -160,7 +160,9 @@ class ChunkEncoder:
     chunks in order.  It also drops case, so Latin-1 texts are lower-cased first.  A word with marks
     behind it is two pre-tokens, of which the word is encoded once.  New words go through the
     tokenizer together with a space between, and are told apart by the ids that end a word; other
-    new chunks are divided by a special token.  What was used since the cache last held ``most``
+    new chunks are divided by a special token; chunks that may hold one themselves go through the
+    tokenizer alone, and as special tokens have their case, texts with one are not lower-cased first.
+    What was used since the cache last held ``most``
     chunks stays, which bounds the memory.
     """
 
@@ -222,7 +224,7 @@ class ChunkEncoder:
         odd = [c for c in new if "<|" in c]
         new = [c for c in new if "<|" not in c]
         for c in odd:
-            self.cache[c] = np.array(self.plain.encode(c, add_special_tokens=False).ids, self.kind).tobytes()
+            self.cache[c] = np.array(self.split.encode(c, add_special_tokens=False).ids, self.kind).tobytes()
         for k in range(0, len(new), 2000):
             part = new[k : k + 2000]
             ids = np.array(self.split.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, self.kind)
@@ -246,6 +248,8 @@ class ChunkEncoder:
 
 def _lowered(text: str) -> str:
     """Lower case where Python's and the tokenizer's lower-casing and composing agree: in Latin-1 texts."""
+    if "<|" in text:  # special tokens are told apart by case
+        return text
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:

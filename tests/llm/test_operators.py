@@ -58,6 +58,20 @@ def test_token_store_is_whole(spark, odd, none):
     assert next(r["ids"] for r in found if r["key"] == 4) == plain.encode("short", add_special_tokens=False).ids + [1]
 
 
+def test_special_tokens_in_texts_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file(queries.WORD_BPE)
+    texts = ["x <|endoftext|> y", "a<|endoftext|>b <|x|> C", "<|EndOfText|> <|STARTOFTEXT|>", "<|startoftext|><|endoftext|>", "X<|endoftext|", "é <|startoftext|>\nÉ 漢 <|endoftext|>", "<|endof text|>", "< |endoftext|>", "<<|endoftext|>>"]
+    enc, plain = token_store.ChunkEncoder(path), Tokenizer.from_file(path)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(r, enc.kind).tolist() for r in enc.encode(texts)] == want
+    assert [np.frombuffer(enc.encode([t])[0], enc.kind).tolist() for t in texts] == want
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    counted = {r["doc_id"]: r["n_tokens"] for r in collect(token_counts.count_tokens(docs, path, "v1"))}
+    assert counted == {i: len(w) for i, w in enumerate(want)}
+
+
 def brute_removed(rows, width=50):
     first, out = {}, []
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
