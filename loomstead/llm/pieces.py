@@ -7,8 +7,9 @@ Forward filtering sums the weights of all segmentations of each prefix; backward
 pieces from the end, each in proportion to its share, with numbers hashed from the row key and the
 position.  So a row always gets the same segmentation, and every segmentation has its exact probability.
 
-No piece but runs of spaces crosses a word start, so words are filtered apart and all words of a batch
-advance together, byte position by byte position, in numpy.  A run of spaces is cut before its last one.
+A word starts at the first space of each run of spaces and holds the whole run.  No piece crosses a word
+start, so words are filtered apart and all words of a batch advance together, byte position by byte
+position, in numpy.  A vocabulary with a piece that does cross one is refused.
 
 Spaces are written as U+2581 with one added in front; an original U+2581 is spelled in byte pieces, so
 decoding gives back every text.
@@ -41,7 +42,9 @@ class PieceSampler:
             if sp.is_byte(i):
                 self.byte_id[int(p[3:5], 16)] = i
                 self.spell[i] = bytes((int(p[3:5], 16),))
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and "▁" not in p[1:]:
+            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+                if "▁" in p.lstrip("▁"):
+                    raise ValueError(f"piece {p!r} crosses a word start")
                 pieces[p.encode()] = i
                 self.spell[i] = p.replace("▁", " ").encode()
         n = sp.get_piece_size()
@@ -97,13 +100,15 @@ class PieceSampler:
         for b, s, m in zip(begin, size, masks):
             if m is not None:
                 skip[b : b + s] = m
-        # Words start at each bar that stands for a space, and at each text.
+        # Words start at the first of each run of bars that stand for spaces, and at each text.
         bar = np.zeros(n, bool)
         if n > 2:
             bar[:-2] = (buf[:-2] == _BAR[0]) & (buf[1:-1] == _BAR[1]) & (buf[2:] == _BAR[2])
         bar &= ~skip
-        bar[begin] = True
-        starts = np.flatnonzero(bar)
+        head = bar.copy()
+        head[3:] &= ~bar[:-3]
+        head[begin] = True
+        starts = np.flatnonzero(head)
         length = np.diff(np.concatenate([starts, [n]]))
         word = np.repeat(np.arange(len(starts)), length)
         pos = np.arange(n) - starts[word]

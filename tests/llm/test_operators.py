@@ -287,6 +287,37 @@ def test_sampled_pieces_round_trip_and_distribution(odd, none):
     assert [tuple(g.tolist()) for g in s.sample([b"nation"], np.array([7]), 5)] == [drawn[7]]
 
 
+@pytest.mark.parametrize("text", ["x     y", "  x  ", "a\n    b", "▁  ▁ "])
+def test_runs_of_spaces_are_pieces(text):
+    import sentencepiece
+
+    path = public_tokenizers.path(queries.PIECES)
+    s, sp = pieces.PieceSampler(path, 0.5), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    vocabulary = {p.encode(): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) for p in [sp.id_to_piece(i).replace("▁", " ")]}
+    vocabulary |= {b"\n": s.byte_id[10]}
+
+    def all_of(u):
+        if not u:
+            yield ()
+        if u.startswith("▁".encode()):  # an original bar has byte pieces only
+            for rest in all_of(u[3:]):
+                yield (*s.byte_id[list(u[:3])].tolist(), *rest)
+        for k in range(1, len(u) + 1):
+            if u[:k] in vocabulary:
+                for rest in all_of(u[k:]):
+                    yield (int(vocabulary[u[:k]]), *rest)
+
+    ways = list(all_of(b" " + text.encode()))
+    if "▁" not in text:
+        assert tuple(sp.encode(text)) in ways
+    weight = np.array([np.exp(sum(s.weight[list(w)])) for w in ways])
+    n = 60000
+    drawn = [tuple(g.tolist()) for g in s.sample([text.encode()] * n, np.arange(n), 5)]
+    assert set(drawn) <= set(ways) and s.decode(np.array(drawn[0])) == text.encode()
+    share = np.array([drawn.count(w) / n for w in ways])
+    assert np.abs(share - weight / weight.sum()).sum() < 0.05
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
