@@ -11,8 +11,9 @@ strings are judged on the input and never cross documents.
 2. Stretches of windows with one repeated anchor are segments.  In a second round of questions chunks
    send digests of their segments.  An anchor with one segment everywhere needs no sorting: its
    documents learn the least id that has it.  Of the others each segment's text is sent once.
-3. Those segments meet by anchor in shards of bounded size, where external induced sorting brings equal
-   windows together, and each window gets the least id that has it.
+3. Those segments meet by anchor in shards, where external induced sorting brings equal windows together,
+   and each window gets the least id that has it.  An anchor with more text than a shard holds is not
+   sorted in one task: its windows meet by their own digests, in a grouping that Spark spills and combines.
 4. Windows go back to the documents that hold them and are joined to removed spans.
 
 Only counts reach the driver.  Each step's result is written to the shared folder, so a lost executor
@@ -251,6 +252,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     amount = spots.where("kind = 1").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n")).first()["n"]
     shards = max(parts, -(-amount // SHARD_BYTES))
     segments = segments.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    # Anchors of more text than a shard: looked for in overfull shards only, so at most one anchor for each SHARD_BYTES.
+    sizes = spots.where("kind = 1").select("h", "a", F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
+    full = sizes.groupBy("shard").agg(F.sum("a").alias("n")).where(F.col("n") > 4 * SHARD_BYTES).select("shard")
+    hot = kept(sizes.join(F.broadcast(full), "shard").groupBy("h").agg(F.sum("a").alias("n")).where(F.col("n") > SHARD_BYTES).select("h"), "repeat-hot-anchors")
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
         """For each segment, runs of windows with the least id that has them."""
@@ -270,7 +275,23 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         run = np.diff(np.append(at, len(least)))
         return pd.DataFrame({"h": h[owner[at]], "s": part["s"].to_numpy(np.int64)[owner[at]], "lo": at - begin[owner[at]], "n": run, "least": least[at]})
 
-    runs = segments.groupBy("shard").applyInPandas(settle, "h long, s long, lo int, n int, least long")
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each window of each segment by a 16-byte digest."""
+        for b in batches:
+            m = np.fromiter((len(x) - width + 1 for x in b["segment"]), np.int64, len(b))
+            w = [hashlib.blake2b(x[i : i + width], digest_size=16).digest() for x, n in zip(b["segment"], m) for i in range(n)]
+            lo = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            yield pd.DataFrame({"h": np.repeat(b["h"].to_numpy(np.int64), m), "s": np.repeat(b["s"].to_numpy(np.int64), m), "k": np.repeat(b["k"].to_numpy(np.int64), m), "lo": lo.astype(np.int32), "w": w})
+
+    anchored = F.broadcast(hot)
+    runs = segments.join(anchored, "h", "left_anti").groupBy("shard").applyInPandas(settle, "h long, s long, lo int, n int, least long")
+    if not hot.isEmpty():
+        large = segments.join(anchored, "h", "left_semi").select("h", "s", "segment", "k")
+        each = large.mapInPandas(windows, "h long, s long, k long, lo int, w binary")
+        least = each.groupBy("w").agg(F.min("k").alias("least"), F.count("*").alias("n")).where("n > 1").select("w", "least")
+        earlier = each.join(least.hint("merge"), "w").where("least < k").select("h", "s", "lo", F.lit(1).alias("n"), "least")
+        own = large.select("h", "s", F.lit(0).alias("lo"), (F.length("segment") - (width - 1)).alias("n"), F.col("k").alias("least"))
+        runs = runs.union(earlier).union(own)
     places = spots.where("kind = 0").select("h", "s", "k", "t", F.col("a").alias("at"))
     met = places.join(runs, ["h", "s"]).where("least < k")
     spans = met.select("k", "t", (F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("lo") + F.col("n") + width - 1).alias("b"))

@@ -103,6 +103,26 @@ def test_repeats_on_documents(spark):
     assert got == {i: (n, hashlib.sha256(k).hexdigest()) for i, _, n, _, k in brute_removed(rows)}
 
 
+def test_a_hot_anchor_is_not_sorted_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    near = [word(80) for _ in range(7)]
+    rows = [(k, f"{near[k % 7] if k % 3 else word(80)}{PASSAGE}{near[k % 5] if k % 4 else word(80)}") for k in range(400)]
+    most = 1000
+    monkeypatch.setattr(repeats, "SHARD_BYTES", most)
+    sort = repeats.window_classes
+
+    def bounded(segments, width):
+        if sum(map(len, segments)) > 5 * most:
+            raise ValueError("too many bytes in one sorting task")
+        return sort(segments, width)
+
+    monkeypatch.setattr(repeats, "window_classes", bounded)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in collect(repeats.remove_repeats(docs))]
+    assert sorted(got) == sorted(brute_removed(rows))
+
+
 @pytest.mark.parametrize("letters", [1, 2, 5, 200])
 def test_suffix_order_with_spilling_queues(letters):
     rng = np.random.default_rng(letters)
