@@ -6,8 +6,13 @@ names, so extra columns of the input, whatever they are called, cannot clash.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +49,46 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back(collect: bool = True) -> None:
+    """Return a Python worker's freed memory to the system, so idle workers stay small beside the next stage."""
+    import pyarrow
+
+    if collect:
+        gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map over batches that gives its memory back when a task ends."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_group(work: Callable) -> Callable:
+    """A function of a group (or of a key and one or two groups) that gives its memory back after each."""
+
+    def run(*groups):
+        try:
+            return work(*groups)
+        finally:
+            give_back(collect=False)
+
+    # Spark counts the parameters.
+    by_count = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}
+    return by_count[len(inspect.signature(work).parameters)]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,19 +1,24 @@
 """Exact removal of long repeated byte strings across documents.
 
 Every byte that lies in a string of ``width`` bytes which also starts in a document of smaller id goes;
-strings are judged on the input and never cross documents.
+strings are judged on the input and never cross documents.  Repeats are found by external induced sorting;
+steps 0 to 2 are a prefilter that keeps out of the sort what cannot repeat or is settled whole, and that
+brings equal windows to one shard.
 
-0. Of documents with equal texts all but that of the least id go whole and take no further part.
+0. Texts are written once, bucketed by chunk; each later pass reads them from there without a shuffle.
+   Of documents with equal texts all but that of the least id go whole and take no further part.
 1. Each window of ``width`` bytes has an anchor: the least hash among its 24-byte strings.  Equal windows
    have equal anchors.  Chunks of documents send their anchors' hashes to hash buckets, packed; a bucket
    answers each chunk with a bit for every hash that some other document also has.  Windows whose anchor
-   is in one document only cannot repeat and need no sorting.
+   is in one document only cannot repeat.
 2. Stretches of windows with one repeated anchor are segments.  In a second round of questions chunks
-   send digests of their segments.  An anchor with one segment everywhere needs no sorting: its
-   documents learn the least id that has it.  Of the others each segment's text is sent once.
-3. Those segments meet by anchor in shards, where external induced sorting brings equal windows together,
-   and each window gets the least id that has it.  An anchor with more text than a shard holds is not
-   sorted in one task: its windows meet by their own digests, in a grouping that Spark spills and combines.
+   send digests of their segments.  Where an anchor has one segment everywhere, its documents learn the
+   least id that has it.  Of the others each segment's text is sent once.
+3. Those segments stream by anchor into shards, each a text file of its task, and external induced sorting
+   brings equal windows together: neighbours whose common prefix has the width.  Each window gets the
+   least id that has it.  Only an anchor with more text than a shard should hold (a passage that very many
+   documents share) is not given to one task: its windows meet by their own digests, in a grouping that
+   Spark spills and combines.
 4. Windows go back to the documents that hold them and are joined to removed spans.
 
 Only counts reach the driver.  Each step's result is written to the shared folder, so a lost executor
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +37,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import kept, shuffle_width
-from loomstead.llm.induced import window_classes
+from loomstead.llm import induced
+from loomstead.llm.common import fresh_path, kept, shuffle_width, tidy, tidy_group
 
 WIDTH, GRAM = 50, 24
-#: Windows in a segment at most, and bytes of text in a chunk and in a sorting shard (about).
-LONGEST, CHUNK_BYTES, SHARD_BYTES = 64, 1 << 19, 1 << 20
+#: Windows in a segment at most, and bytes of text in a chunk, behind a bucket of questions and in a sorting shard (about).
+LONGEST, CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES = 64, 1 << 19, 8 << 20, 4 << 20
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -105,19 +111,97 @@ def _chunk_anchors(ids: np.ndarray, owner: np.ndarray, anchor: np.ndarray) -> tu
     return a[first], np.maximum.reduceat(other, first) if len(first) else other
 
 
+def settled(batches: Iterator[pd.DataFrame], width: int = WIDTH, limit: int = induced.LIMIT) -> Iterator[pd.DataFrame]:
+    """From segments (shard, h, s, segment, k) in order of shard: runs of windows (h, s, lo, n, least) with the least id that has them.
+
+    A shard's text and tables go to local files past ``limit``, so a shard may be far larger than memory.
+    """
+    shard, texts, rows = None, induced.Sequence(limit), induced.Sequence(limit)
+    for b in batches:
+        for number, part in b.groupby("shard", sort=True):
+            if shard is not None and number != shard:
+                yield from _settle(texts, rows, width, limit)
+                texts, rows = induced.Sequence(limit), induced.Sequence(limit)
+            shard = number
+            bodies = list(part["segment"])
+            size = np.fromiter(map(len, bodies), np.int64, len(bodies))
+            codes = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.uint16) + np.uint16(2)
+            codes[np.cumsum(size + 1) - 1] = 1
+            texts.append(codes)
+            rows.append(part["h"].to_numpy(np.int64), part["s"].to_numpy(np.int64), part["k"].to_numpy(np.int64), size)
+    if shard is not None:
+        yield from _settle(texts, rows, width, limit)
+
+
+def _settle(texts: induced.Sequence, rows: induced.Sequence, width: int, limit: int) -> Iterator[pd.DataFrame]:
+    n, count = sum(len(c[0]) for c in texts) + 1, sum(len(c[0]) for c in rows)
+    chars, least, at = induced.space(n, np.uint16, limit), induced.space(n, np.int64, limit), 0
+    for (codes,) in texts:
+        chars[at : at + len(codes)] = codes
+        at += len(codes)
+    h, s, k, begin, size = (induced.space(count, np.int64, limit) for _ in range(5))
+    at = place = 0
+    for hs, ss, ks, sizes in rows:
+        here = slice(at, at + len(hs))
+        h[here], s[here], k[here], size[here] = hs, ss, ks, sizes
+        begin[here] = place + np.cumsum(sizes + 1) - sizes - 1
+        least[place : place + int((sizes + 1).sum())] = np.repeat(ks, sizes + 1)
+        at, place = at + len(hs), place + int((sizes + 1).sum())
+    for spot, new in induced.equal_windows(chars, width, limit):
+        first = np.flatnonzero(new)
+        run = np.diff(np.append(first, len(spot)))
+        spot, run = spot[np.repeat(run > 1, run)], run[run > 1]
+        if len(spot):
+            ids = k[np.searchsorted(begin, spot, side="right") - 1]
+            least[spot] = np.repeat(np.minimum.reduceat(ids, np.cumsum(run) - run), run)
+    for lo in range(0, count, 20_000):
+        here = slice(lo, lo + 20_000)
+        m = size[here] - (width - 1)
+        owner = np.repeat(np.arange(len(m)), m)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
+        low = least[np.asarray(begin[here])[owner] + offset]
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
+        x = np.flatnonzero(new)
+        yield pd.DataFrame({"h": np.asarray(h[here])[owner[x]], "s": np.asarray(s[here])[owner[x]], "lo": offset[x].astype(np.int32), "n": np.diff(np.append(x, len(low))).astype(np.int32), "least": low[x]})
+
+
+class _Chunks:
+    """All rows as (k, keyed, t, body, c) in a table bucketed by chunk, written once and read in each pass.
+
+    The table leaves the catalogue at once; its files stay as long as the shared folder.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        spark = docs.sparkSession
+        body = F.col(text_col).cast("binary")
+        key = F.col(id_col).cast("long")
+        rows = docs.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNotNull().alias("keyed"), F.xxhash64(body).alias("t"), F.coalesce(body, F.lit(b"")).alias("body"))
+        self.parts = shuffle_width(spark)
+        self.total = rows.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("n")).first()["n"]
+        self.chunks = max(self.parts, -(-self.total // CHUNK_BYTES))
+        self.spark, name = spark, f"loomstead_chunks_{uuid.uuid4().hex}"
+        rows = rows.withColumn("c", self.of("k", "t")).repartition(self.parts, "c")
+        rows.write.bucketBy(self.parts, "c").option("path", fresh_path(spark, "repeat-chunks")).saveAsTable(name)
+        self.rows = spark.table(name)
+        spark.sql(f"drop table {name}")
+
+    def of(self, k: str, t: str):
+        return F.pmod(F.xxhash64(k, t), F.lit(self.chunks)).cast("int")
+
+
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(k, t, a, b): byte spans to remove, as (id, hash of the text), overlapping and in any order.
 
     Rows without id take no part.  Rows of one id never remove each other's bytes.
     """
-    spark = docs.sparkSession
-    body = F.col(text_col).cast("binary")
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.xxhash64(body).alias("t"), body.alias("body")).where(F.length("body") >= width)
-    total = rows.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("n")).first()["n"]
-    parts = shuffle_width(spark)
-    chunks = max(parts, -(-total // CHUNK_BYTES))
-    buckets = max(parts, -(-total // (24 << 20)))
-    rows = rows.withColumn("c", F.pmod(F.xxhash64("k", "t"), F.lit(chunks)).cast("int"))
+    return _spans(_Chunks(docs, id_col, text_col), width)
+
+
+def _spans(chunked: _Chunks, width: int) -> DataFrame:
+    spark, parts = chunked.spark, chunked.parts
+    rows = chunked.rows.where((F.length("body") >= width) & F.col("keyed")).drop("keyed")
+    buckets = max(parts, -(-chunked.total // BUCKET_BYTES))
 
     digests = kept(rows.select("k", "t", "c", F.length("body").alias("size"), F.unhex(F.sha2("body", 256)).alias("digest")), "repeat-digests")
     firsts = digests.groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
@@ -154,8 +238,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     whole = copies.select("c", F.lit(-1).alias("bucket"), F.lit(b"").alias("flags"), F.lit(0).alias("n"), "k", "t")
     none = [F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("t")]
-    sent = rows.groupBy("c").cogroup(copies.groupBy("c")).applyInPandas(send, "bucket int, c int, hashes binary, twice binary")
-    answers = kept(sent.groupBy("bucket").applyInPandas(answer, "c int, bucket int, flags binary, n int"), "repeat-answers")
+    sent = rows.groupBy("c").cogroup(copies.groupBy("c")).applyInPandas(tidy_group(send), "bucket int, c int, hashes binary, twice binary")
+    answers = kept(sent.groupBy("bucket").applyInPandas(tidy_group(answer), "c int, bucket int, flags binary, n int"), "repeat-answers")
     _release(spark)
 
     def marked(texts: list[bytes], owner, offset, m) -> tuple[list[bytes], np.ndarray]:
@@ -204,8 +288,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pd.DataFrame({"c": part["c"], "bucket": part["bucket"], "h": part["h"], "both": [both[e - n : e].tobytes() for n, e in zip(size, ends)], "least": [least[e - n : e].tobytes() for n, e in zip(size, ends)], "code": [code[e - n : e].tobytes() for n, e in zip(size, ends)]})
 
     flagged = answers.select("c", "bucket", "flags", "n", *none).union(whole)
-    sent = rows.groupBy("c").cogroup(flagged.groupBy("c")).applyInPandas(send_segments, "bucket int, c int, h binary, s binary, k binary")
-    answers = kept(sent.groupBy("bucket").applyInPandas(answer_segments, "c int, bucket int, h binary, both binary, least binary, code binary"), "repeat-segment-answers")
+    sent = rows.groupBy("c").cogroup(flagged.groupBy("c")).applyInPandas(tidy_group(send_segments), "bucket int, c int, h binary, s binary, k binary")
+    answers = kept(sent.groupBy("bucket").applyInPandas(tidy_group(answer_segments), "c int, bucket int, h binary, both binary, least binary, code binary"), "repeat-segment-answers")
     _release(spark)
 
     def cut(key, part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -245,7 +329,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pd.concat([spans, spots, bodies], ignore_index=True)[columns]
 
     told = answers.select("c", "bucket", "h", "both", "least", "code", *none).union(whole.select("c", "bucket", *["flags"] * 4, "k", "t"))
-    spots = rows.groupBy("c").cogroup(told.groupBy("c")).applyInPandas(cut, "kind int, h long, s long, segment binary, k long, t long, a int, b int")
+    spots = rows.groupBy("c").cogroup(told.groupBy("c")).applyInPandas(tidy_group(cut), "kind int, h long, s long, segment binary, k long, t long, a int, b int")
     spots = kept(spots, "repeat-segments")
     _release(spark)
     segments = spots.where("kind = 1").select("h", "s", "segment", "k")
@@ -255,25 +339,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Anchors of more text than a shard: looked for in overfull shards only, so at most one anchor for each SHARD_BYTES.
     sizes = spots.where("kind = 1").select("h", "a", F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
     full = sizes.groupBy("shard").agg(F.sum("a").alias("n")).where(F.col("n") > 4 * SHARD_BYTES).select("shard")
-    hot = kept(sizes.join(F.broadcast(full), "shard").groupBy("h").agg(F.sum("a").alias("n")).where(F.col("n") > SHARD_BYTES).select("h"), "repeat-hot-anchors")
-
-    def settle(part: pd.DataFrame) -> pd.DataFrame:
-        """For each segment, runs of windows with the least id that has them."""
-        part = part.sort_values(["h", "s"], kind="stable")
-        h, k = part["h"].to_numpy(np.int64), part["k"].to_numpy(np.int64)
-        body = list(part["segment"])
-        m = np.fromiter((len(b) - width + 1 for b in body), np.int64, len(body))
-        begin = np.cumsum(m) - m
-        least = np.repeat(k, m)
-        seg, offset, cls = window_classes(body, width)
-        first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-        least[begin[seg] + offset] = np.minimum.reduceat(k[seg], first)[cls]
-        owner = np.repeat(np.arange(len(body)), m)
-        new = np.ones(len(least), bool)
-        new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-        at = np.flatnonzero(new)
-        run = np.diff(np.append(at, len(least)))
-        return pd.DataFrame({"h": h[owner[at]], "s": part["s"].to_numpy(np.int64)[owner[at]], "lo": at - begin[owner[at]], "n": run, "least": least[at]})
+    hot = kept(sizes.join(full, "shard").groupBy("h").agg(F.sum("a").alias("n")).where(F.col("n") > SHARD_BYTES).select("h"), "repeat-hot-anchors")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each window of each segment by a 16-byte digest."""
@@ -283,11 +349,12 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             lo = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
             yield pd.DataFrame({"h": np.repeat(b["h"].to_numpy(np.int64), m), "s": np.repeat(b["s"].to_numpy(np.int64), m), "k": np.repeat(b["k"].to_numpy(np.int64), m), "lo": lo.astype(np.int32), "w": w})
 
-    anchored = F.broadcast(hot)
-    runs = segments.join(anchored, "h", "left_anti").groupBy("shard").applyInPandas(settle, "h long, s long, lo int, n int, least long")
+    # At most one hot anchor for each SHARD_BYTES of segments; the joins choose their strategy by the written table's size.
+    cold = segments.join(hot, "h", "left_anti").repartition(min(shards, 4 * parts), "shard").sortWithinPartitions("shard", "h", "s")
+    runs = cold.mapInPandas(tidy(lambda batches: settled(batches, width)), "h long, s long, lo int, n int, least long")
     if not hot.isEmpty():
-        large = segments.join(anchored, "h", "left_semi").select("h", "s", "segment", "k")
-        each = large.mapInPandas(windows, "h long, s long, k long, lo int, w binary")
+        large = segments.join(hot, "h", "left_semi").select("h", "s", "segment", "k")
+        each = large.mapInPandas(tidy(windows), "h long, s long, k long, lo int, w binary")
         least = each.groupBy("w").agg(F.min("k").alias("least"), F.count("*").alias("n")).where("n > 1").select("w", "least")
         earlier = each.join(least.hint("merge"), "w").where("least < k").select("h", "s", "lo", F.lit(1).alias("n"), "least")
         own = large.select("h", "s", F.lit(0).alias("lo"), (F.length("segment") - (width - 1)).alias("n"), F.col("k").alias("least"))
@@ -331,19 +398,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts count as empty; rows without id stay whole; rows of one id do not touch each other; extra
     columns are ignored; an empty table gives no rows.
     """
-    found = _with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", width)
+    chunked = _Chunks(docs, id_col, text_col)
+    spans = _spans(chunked, width)
+    lists = spans.groupBy("k", "t").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).withColumn("c", chunked.of("k", "t"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, body, lo, hi in zip(b["doc_id"].astype(object), b["body"], b["a"], b["b"]):
-                spans = _merged(list(lo), list(hi)) if lo is not None else []
-                edges = [0, *[x for s in spans for x in s], len(body)]
-                out.append((k, len(body), sum(y - x for x, y in spans), len(spans), b"".join(body[x:y] for x, y in zip(edges[::2], edges[1::2]))))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
-
-    ready = found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), F.col("`loomstead a`").alias("a"), F.col("`loomstead b`").alias("b"))
-    return ready.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    def run(key, part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        cuts = {x: y for x, *y in zip(zip(found["k"].tolist(), found["t"].tolist()), found["a"], found["b"])}
+        out = []
+        for k, keyed, t, body in zip(part["k"].tolist(), part["keyed"], part["t"].tolist(), part["body"]):
+            spans = _merged(*cuts[k, t]) if keyed and (k, t) in cuts else []
+            edges = [0, *[x for s in spans for x in s], len(body)]
+            out.append((k if keyed else None, len(body), sum(y - x for x, y in spans), len(spans), b"".join(body[x:y] for x, y in zip(edges[::2], edges[1::2]))))
+        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
+
+    return chunked.rows.groupBy("c").cogroup(lists.groupBy("c")).applyInPandas(tidy_group(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

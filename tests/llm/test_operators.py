@@ -110,25 +110,64 @@ def test_a_hot_anchor_is_not_sorted_in_one_task(spark, monkeypatch):
     rows = [(k, f"{near[k % 7] if k % 3 else word(80)}{PASSAGE}{near[k % 5] if k % 4 else word(80)}") for k in range(400)]
     most = 1000
     monkeypatch.setattr(repeats, "SHARD_BYTES", most)
-    sort = repeats.window_classes
+    sort = repeats._settle
 
-    def bounded(segments, width):
-        if sum(map(len, segments)) > 5 * most:
+    def bounded(texts, rows, width, limit):
+        if sum(len(c[0]) for c in texts) > 5 * most:
             raise ValueError("too many bytes in one sorting task")
-        return sort(segments, width)
+        return sort(texts, rows, width, limit)
 
-    monkeypatch.setattr(repeats, "window_classes", bounded)
+    monkeypatch.setattr(repeats, "_settle", bounded)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in collect(repeats.remove_repeats(docs))]
     assert sorted(got) == sorted(brute_removed(rows))
 
 
-@pytest.mark.parametrize("letters", [1, 2, 5, 200])
-def test_suffix_order_with_spilling_queues(letters):
+@pytest.mark.parametrize("letters", [1, 2, 5, 200, 3000])
+@pytest.mark.parametrize("limit", [64, 1 << 20])
+def test_suffix_order_and_common_prefixes(letters, limit):
+    """Order and carried prefixes by brute force, with queues that spill all the time and recursion to the end."""
     rng = np.random.default_rng(letters)
-    for n in (1, 2, 7, 400):
-        a = np.append(rng.integers(1, letters + 1, n), 0)
-        assert list(induced.suffix_order(a, limit=64)) == sorted(range(n + 1), key=lambda i: tuple(a[i:]))
+    for n in (1, 2, 7, 50, 400):
+        for periodic in (False, True):
+            a = rng.integers(1, letters + 1, n)
+            a = np.append(np.tile(a[: max(1, n // 5)], 6)[:n] if periodic else a, 0)
+            order, common = induced.suffix_order(a, width=10, limit=limit, short=0)
+            suffixes = [tuple(a[i:]) for i in range(len(a))]
+            assert order.tolist() == sorted(range(len(a)), key=suffixes.__getitem__)
+            for x, y, c in zip(order, order[1:], common[1:]):
+                equal = [p == q for p, q in zip(suffixes[x], suffixes[y])]
+                assert c == min(10, [*equal, False].index(False))
+
+
+def test_a_shard_far_larger_than_its_memory_bound(monkeypatch):
+    """1.2 million tuples through queues of 64 kB: they spill again and again, and classes are those of a dictionary."""
+    rng = np.random.default_rng(2)
+    bodies = [bytes(rng.integers(97, 103, 90, np.uint8)) for _ in range(900)]
+    segments = [bodies[i][a : a + 70] for i, a in zip(rng.integers(0, 900, 9000), rng.integers(0, 20, 9000))]
+    raw = b"\0".join(segments) + b"\0"
+    text = np.frombuffer(raw, np.uint8).astype(np.uint16) + 2
+    text[np.cumsum([len(s) + 1 for s in segments]) - 1] = 1
+    spills, close = [], induced._Induction.run
+
+    def counted(self, seeds):
+        out = close(self, seeds)
+        spills.append(self.queue.spills)
+        return out
+
+    monkeypatch.setattr(induced._Induction, "run", counted)
+    classes = {}
+    for at, new in induced.equal_windows(np.append(text, np.uint16(0)), 50, 64 << 10):
+        for members in np.split(at, np.flatnonzero(new)[1:]):
+            inside = [m for m in members.tolist() if b"\0" not in raw[m : m + 50] and len(raw) - m >= 50]
+            if inside:
+                assert len(inside) == len(members)
+                classes[raw[inside[0] : inside[0] + 50]] = sorted(inside)
+    want = {}
+    for m in range(len(raw) - 49):
+        if b"\0" not in raw[m : m + 50]:
+            want.setdefault(raw[m : m + 50], []).append(m)
+    assert classes == want and min(spills[-2:]) > 5
 
 
 def test_token_counts_stay_whole_through_retries(spark, odd):
