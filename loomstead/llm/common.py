@@ -62,6 +62,18 @@ def give_back(collect: bool = True) -> None:
         pass
 
 
+def by_size(sizes: list[int], most: int) -> Iterator[slice]:
+    """Slices of rows whose sizes come to ``most`` at most; a larger row is alone."""
+    begin, held = 0, 0
+    for k, n in enumerate(sizes):
+        if k > begin and held + n > most:
+            yield slice(begin, k)
+            begin, held = k, 0
+        held += n
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A map over batches that gives its memory back when a task ends."""
 

@@ -12,9 +12,10 @@ def components(edges: DataFrame, what: str = "cc") -> DataFrame:
     """(node, root): the least node that each node of ``edges(a, b)`` reaches.
 
     Each round every root takes its least neighbouring root as parent, paths are shortened twice,
-    and edges inside a component go.  At least half of the roots with an edge disappear in a round,
-    so rounds grow with the logarithm of the graph.  Each round is written to the shared folder; only
-    counts reach the driver.  Empty edges give an empty table.
+    and edges inside a component go.  In each component that still has an edge at least one root goes,
+    and in all but its local least ones every root does; a star whose centre has the largest id takes two
+    rounds.  The loop runs until no edge is left.  Each round is written to the shared folder; only
+    whether edges are left reaches the driver.  Empty edges give an empty table; loops and nulls are dropped.
     """
     edges = kept(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), what)
     labels = kept(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")), what)

@@ -7,8 +7,8 @@ on no element of one collection: at most 2 * (1 - J**2) ** m, and m is chosen fr
 
 Documents with equal shingle sets are one node.  Nodes that share a key belong to one candidate
 family (components over node-to-least-node links, never all pairs).  Links inside a family are then
-verified on the full sets: a small family in one task, a large one by pairs of bounded blocks, and
-tasks emit spanning links only.
+verified on the full sets: a small family in one task, a large one block by block, where only a few
+members and those that they leave over meet every block.  Tasks emit spanning links only.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstead.llm.common import kept
+from loomstead.llm.common import by_size, kept, tidy, tidy_group
 from loomstead.llm.graph import components
 from loomstead.llm.shingles import shingle_sets
 
@@ -31,8 +31,10 @@ _FEATURES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.BinaryType()),
     T.StructField("one", T.ArrayType(T.LongType())), T.StructField("two", T.ArrayType(T.LongType())),
 ])
-#: Shingles that one verification task holds at most, beside one document.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles and members in one block of a family, about.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 400_000, 500
+#: Blocks of a large family whose least members ask first, and bytes of text whose sets are made at once.
+FIRST_BLOCKS, TEXT_BYTES = 8, 1 << 20
 
 
 def elements_for(threshold: float, miss: float = 1e-4) -> int:
@@ -53,8 +55,8 @@ def features(docs: DataFrame, m: int, size: int, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), 400):
-                part = b.iloc[lo : lo + 400]
+            for rows_ in by_size([len(t) + 256 for t in b["t"]], TEXT_BYTES):
+                part = b.iloc[rows_]
                 h, counts = shingle_sets(list(part["t"]), size)
                 ends = np.cumsum(counts)
                 full = counts > 0
@@ -73,7 +75,7 @@ def features(docs: DataFrame, m: int, size: int, id_col: str = "doc_id", text_co
                 yield pd.DataFrame({"doc_id": part["k"].astype("Int64"), "n_shingles": counts.astype(np.int64), "sig": sig, "one": sets[0], "two": sets[1]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    return rows.mapInPandas(run, _FEATURES)
+    return rows.mapInPandas(tidy(run), _FEATURES)
 
 
 def families(nodes: DataFrame) -> DataFrame:
@@ -102,11 +104,11 @@ class _Union:
         return a != b
 
 
-def linked(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], percent: int, askers: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning links among sets: exact intersections through postings.
 
-    After the first sets have gathered their neighbours, only sets outside the largest component ask;
-    that covers each pair of different components.  With ``sides``, only pairs across sides count.
+    Each of the ``askers`` meets all sets.  Without them the first sets ask, and then only sets outside the
+    largest component; that covers each pair of different components.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
@@ -125,12 +127,14 @@ def linked(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
         common = np.bincount(posting[spots], minlength=n)
         ok = 100 * common >= percent * (size[x] + size - common)
         ok[x] = False
-        if sides is not None:
-            ok &= sides != sides[x]
         for y in np.flatnonzero(ok):
             if groups.join(x, int(y)):
                 found.append((x, int(y)))
 
+    if askers is not None:
+        for x in askers.tolist():
+            ask(x)
+        return found
     first = min(n, 8)
     for x in range(first):
         ask(x)
@@ -143,36 +147,70 @@ def linked(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None
 
 
 def verified_links(docs: DataFrame, family: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): spanning links of each family, confirmed on the full shingle sets of whole texts."""
+    """(a, b): spanning links of each family, confirmed on the full shingle sets of whole texts.
+
+    A small family is one task.  A large one is cut into blocks: some members first meet all blocks; then
+    the members outside the family's largest component so far meet all blocks.  Two members that neither
+    step compares are in one component already, so no link between components is lost, and members of a
+    large group of near copies meet a few others only.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     # The family table grows with the input, so it is never broadcast.
     rows = rows.join(family.hint("merge"), "node")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), 400):
-                part = b.iloc[lo : lo + 400]
+            for rows_ in by_size([len(t) + 256 for t in b["t"]], TEXT_BYTES):
+                part = b.iloc[rows_]
                 h, counts = shingle_sets(list(part["t"]), size)
                 ends, raw = 8 * np.cumsum(counts), h.tobytes()
                 yield pd.DataFrame({"node": part["node"], "family": part["family"], "n": counts.astype(np.int64), "hashes": [raw[e - 8 * c : e] for e, c in zip(ends, counts)]})
 
     # A document read twice (a repeated key) gives the same node; the first of them stands for it.
-    held = kept(rows.mapInPandas(sets, "node long, family long, n long, hashes binary"), "shingles")
+    held = kept(rows.mapInPandas(tidy(sets), "node long, family long, n long, hashes binary"), "shingles")
     weight = held.groupBy("family").agg(F.sum("n").alias("weight"), F.count("*").alias("members"))
-    weight = weight.select("family", F.ceil(F.greatest(F.col("weight") / BLOCK_SHINGLES, F.col("members") / 20_000)).cast("int").alias("blocks"))
-    spread = held.join(weight, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("node", "family", "block", "hashes", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-
-    def verify(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("node", kind="stable").drop_duplicates("node")
-        sets_ = [np.frombuffer(x, np.uint64) for x in b["hashes"]]
-        nodes = b["node"].to_numpy(np.int64)
-        across = b["block"].to_numpy() if key[1] != key[2] else None
-        pairs = linked(sets_, percent, across) if len(sets_) > 1 else []
-        return pd.DataFrame({"a": [nodes[x] for x, _ in pairs], "b": [nodes[y] for _, y in pairs]}, dtype="int64")
-
-    return spread.groupBy("family", "p", "q").applyInPandas(verify, "a long, b long")
+    weight = weight.select("family", F.ceil(F.greatest(F.col("weight") / BLOCK_SHINGLES, F.col("members") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    weight = kept(weight, "family-blocks")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = held.join(weight.hint("merge"), "family").select("node", "family", "n", "hashes", "blocks", block.alias("block"))
+
+    def links(members: DataFrame, askers: DataFrame | None) -> DataFrame:
+        """Links in each block: among its members, or of the askers that were sent there (by group) to them."""
+        sent = askers is not None
+
+        def verify(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+            b = b.sort_values(["node", "asks"], kind="stable").drop_duplicates("node", keep="last")
+            sets_ = [np.frombuffer(x, np.uint64) for x in b["hashes"]]
+            nodes = b["node"].to_numpy(np.int64)
+            who = np.flatnonzero(b["asks"]) if sent else None
+            pairs = linked(sets_, percent, who) if len(sets_) > 1 else []
+            return pd.DataFrame({"a": [nodes[x] for x, _ in pairs], "b": [nodes[y] for _, y in pairs]}, dtype="int64")
+
+        told = members.select("family", "block", F.lit(0).alias("group"), "node", "hashes", F.lit(False).alias("asks"))
+        if askers is not None:
+            groups = askers.groupBy("family", "block").agg(F.max("group").alias("last"))
+            told = members.join(groups.hint("merge"), ["family", "block"]).select("family", "block", F.explode(F.sequence(F.lit(0), "last")).alias("group"), "node", "hashes", F.lit(False).alias("asks"))
+            told = told.union(askers.select("family", "block", "group", "node", "hashes", F.lit(True)))
+        return told.groupBy("family", "block", "group").applyInPandas(tidy_group(verify), "a long, b long")
+
+    def to_all_blocks(rows: DataFrame, group) -> DataFrame:
+        return rows.withColumn("group", group).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    small = links(spread.where("blocks = 1"), None)
+    large = kept(spread.where("blocks > 1"), "large-families")
+    if large.isEmpty():
+        return small
+    least = large.where(F.col("block") < FIRST_BLOCKS).groupBy("family", "block").agg(F.min("node").alias("node")).select("family", "node")
+    first = large.join(least, ["family", "node"], "left_semi")
+    star = kept(links(large, to_all_blocks(first, F.lit(0))), "first-links")
+    roots = components(star, "first-groups")
+    placed = large.select("node", "family").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    largest = placed.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("root"))
+    rest = kept(placed.join(largest, ["family", "root"], "left_anti").select("node", "family"), "rest-nodes")
+    crowd = rest.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("groups"))
+    asking = large.join(rest.hint("merge"), ["node", "family"]).join(crowd, "family")
+    later = links(large, to_all_blocks(asking, F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")).cast("int")))
+    return small.union(star).union(later)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +219,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     ``component_id`` is the least id linked through pairs of Jaccard similarity of ``percent`` or more.
     Null, empty and blank texts have an empty set and stand alone.  Rows of a null id are kept and stand
     alone.  Repeated rows of one id share that id's component (their sets are equal nodes or linked
-    through it).  Extra columns are ignored.  An empty table gives an empty result.
+    through it).  Extra columns are ignored.  An empty table gives an empty result.  Sets are made for about
+    1 MB of texts at once, longer texts in blocks; a task holds a few times its longest set beside that.
     """
     m = elements_for(percent / 100, miss)
     found = kept(features(docs, m, size, id_col, text_col), "minhash")
