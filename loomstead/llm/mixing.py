@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.llm.common import kept, shuffle_width
+
+#: Sources whose rates may be broadcast, at about 400 bytes each; more of them are joined by a shuffle of ids.
+MOST_BROADCAST = 20_000
 #: Names that the operator adds; an input column of such a name comes back with "_in" appended.
 ADDED = ("n_copies", "copy", "mix_key")
 
@@ -47,15 +51,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     A document's count inverts the Poisson distribution of its source's rate at a hash of seed and id,
     so it does not depend on partitions or retries.  Null sources are a source of their own; a null id
     hashes as such; repeated rows are replicated each; null texts weigh one byte; an empty table stays empty.
+
+    Rates are one small row a source, written and counted first: few are broadcast, so texts are not
+    shuffled by source, and a hot source is no task.  Texts are shuffled once, to the range of their key:
+    keys are uniform, so ranges are equal without a sample.
     """
     mark = "loomstead mix "
     clash = [c for c in docs.columns if c.lower() in ADDED]
     for c in clash:
         docs = docs.withColumnRenamed(c, f"{c}_in")
     rates = source_rates(docs, weights, temperature, ratio, source_col, text_col).select(F.col("source").alias(mark + "source"), F.col("cdf").alias(mark + "cdf"))
+    rates = kept(rates, "mix-rates")
+    rates = F.broadcast(rates) if rates.count() <= MOST_BROADCAST else rates.hint("merge")
     joined = docs.join(rates, docs[source_col].eqNullSafe(F.col(f"`{mark}source`")))
     u = unit_hash(F.lit(seed), F.col(id_col))
     counted = joined.withColumn("n_copies", F.size(F.filter(F.col(f"`{mark}cdf`"), lambda c: c <= u)))
     copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary"))
-    return copies.withColumn("mix_key", key).drop(mark + "source", mark + "cdf").orderBy("mix_key")
+    copies = copies.withColumn("mix_key", key).drop(mark + "source", mark + "cdf")
+    width = shuffle_width(docs.sparkSession)
+    share = F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * width
+    return copies.repartitionById(width, F.shiftright(share, 32).cast("int")).sortWithinPartitions("mix_key")
