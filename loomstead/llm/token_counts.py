@@ -8,14 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import fresh_path
+from loomstead.llm.common import by_size, fresh_path, tidy
 from loomstead.llm.token_store import encoder
 
 KEYS = ("source", "lang", "tokenizer")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, version: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, source, lang, tokenizer, n_tokens) of every whole text; a null text has none."""
+    """(doc_id, source, lang, tokenizer, n_tokens) of every whole text.
+
+    A null or empty text has no tokens; null ids, sources and languages stay null; repeated rows are counted
+    each; extra columns are ignored; an empty table gives no rows.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -23,11 +27,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, version: str, id_col: str
         for b in batches:
             n: list[int] = []
             texts = b["t"].tolist()
-            for lo in range(0, len(texts), 256):
-                n += [len(r) // enc.kind.itemsize for r in enc.encode(texts[lo : lo + 256])]
+            for rows_ in by_size([len(t) + 256 for t in texts], 1 << 20):
+                n += [len(r) // enc.kind.itemsize for r in enc.encode(texts[rows_])]
             yield b[["doc_id", "source", "lang"]].assign(n_tokens=n)
 
-    counted = rows.mapInPandas(run, "doc_id long, source string, lang string, n_tokens long")
+    counted = rows.mapInPandas(tidy(run), "doc_id long, source string, lang string, n_tokens long")
     return counted.withColumn("tokenizer", F.lit(version))
 
 

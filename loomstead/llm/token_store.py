@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstead.llm.common import fresh_path, shuffle_width
+from loomstead.llm.common import by_size, fresh_path, shuffle_width, tidy
 
 MAGIC = b"LSTK"
 SEPARATOR = "\nLSTK-END\n"
@@ -308,8 +308,8 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, path: str | None =
         for b in batches:
             ks = [None if pd.isna(k) else int(k) for k in b["k"].astype(object)]
             texts = b["t"].tolist()
-            for lo in range(0, len(texts), 256):
-                for k, r in zip(ks[lo : lo + 256], enc.encode(texts[lo : lo + 256])):
+            for rows_ in by_size([len(t) + 256 for t in texts], 1 << 20):
+                for k, r in zip(ks[rows_], enc.encode(texts[rows_])):
                     keys.append(k)
                     raw.append(r + end)
                     held += len(r) // enc.kind.itemsize + 1
@@ -319,13 +319,15 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, path: str | None =
             yield close()
 
     path = path or fresh_path(docs.sparkSession, "tokens")
-    made = rows.mapInPandas(images, _IMAGE).select(F.col("image").cast("string").alias("value"))
+    made = rows.mapInPandas(tidy(images), _IMAGE).select(F.col("image").cast("string").alias("value"))
     made.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
     return path
 
 
 def read_token_shards(spark, path: str) -> DataFrame:
-    """One row per stored document, each found through its shard's index and cut from the payload.
+    """One row per stored document: each key is hashed to its slot, and the rows found there are cut from the payload.
+
+    Rows without key have no slot and are read from the front of their shard.
 
     ``start`` counts the ids of all documents before it.  Shards know the ids before them in their
     partition, so only one total per partition goes to the driver.
@@ -335,22 +337,23 @@ def read_token_shards(spark, path: str) -> DataFrame:
         for b in batches:
             for image in b["content"]:
                 s = Shard(image)
-                head, keys = s.header, s.part["keys"]
-                first, run = s.rows(keys)
-                at = np.arange(len(keys))
-                null = at < head["n_null"]
-                if not (((first <= at) & (at < first + run)) | null).all():
+                head = s.header
+                wanted = np.unique(s.part["keys"][head["n_null"] :])
+                first, run = s.rows(wanted)
+                # Where the hash sends each key, plus the rows without key at the front.
+                row = np.repeat(first - np.cumsum(run) + run, run) + np.arange(int(run.sum()))
+                row = np.concatenate([np.arange(head["n_null"]), row])
+                if len(np.unique(row)) != head["n_docs"]:
                     raise ValueError("the index of a token shard is damaged")
+                keys = pd.array([None] * head["n_null"] + np.repeat(wanted, run).tolist(), "Int64")
                 starts = s.part["starts"].astype(np.int64)
                 yield pd.DataFrame({
-                    "doc_id": pd.array(np.where(null, 0, keys), "Int64").copy() if not null.any() else pd.array([None if z else int(k) for z, k in zip(null, keys)], "Int64"),
-                    "part": np.full(len(keys), head["part"], np.int32), "local_start": head["before"] + starts[:-1], "n_tokens": np.diff(starts),
-                    "ids_crc32": [zlib.crc32(s.ids(i).tobytes()) for i in range(len(keys))], "part_ids": np.full(len(keys), head["before"] + head["n_ids"], np.int64),
+                    "doc_id": keys, "part": np.full(len(row), head["part"], np.int32), "local_start": head["before"] + starts[row], "n_tokens": starts[row + 1] - starts[row],
+                    "ids_crc32": [zlib.crc32(s.ids(i).tobytes()) for i in row.tolist()], "part_ids": np.full(len(row), head["before"] + head["n_ids"], np.int64),
                 })
 
     found = spark.read.format("binaryFile").load(path).select("content")
-    got = found.mapInPandas(rows, _READ)
-    return got
+    return found.mapInPandas(tidy(rows), _READ)
 
 
 def with_starts(stored: DataFrame) -> DataFrame:
@@ -368,7 +371,7 @@ def with_starts(stored: DataFrame) -> DataFrame:
 def lookup(spark, path: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
     """Token ids of the wanted keys: each shard answers for the keys in its range through its index.
 
-    Keys meet shards by a join on key range, so only shards that may hold a key are opened.
+    Keys meet shards by a join on key range.  Every shard is read for its range, and again if a key falls into it.
     Null keys and keys that are not stored give no row; repeated keys give every stored row.
     """
     schema = "key long, ids array<long>"
