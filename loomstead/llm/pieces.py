@@ -17,6 +17,7 @@ decoding gives back every text.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.llm.common import by_size, tidy
+
+#: Bytes of texts that are worked on at once.
+BLOCK = 1 << 18
+_WORD = re.compile(rb"(?<! ) ")
 _BAR = "▁".encode()
 _LOST = -1e30
 
@@ -74,11 +80,15 @@ class PieceSampler:
         self.ends = np.array(ends, np.int32)
         self.flat = self.step.ravel()
 
-    def sample(self, texts: list[bytes], keys: np.ndarray, seed: int) -> list[np.ndarray]:
-        """A segmentation of each text: piece ids, drawn by the text's key."""
+    def sample(self, texts: list[bytes], keys: np.ndarray, seed: int, bases: list[int] | None = None) -> list[np.ndarray]:
+        """A segmentation of each text: piece ids, drawn by the text's key.
+
+        A text with a base above 0 goes on from there in a longer one: no space is put in front of it.
+        """
         sizes, parts, masks = [], [], []
-        for t in texts:
-            u = b" " + t
+        bases = bases or [0] * len(texts)
+        for t, base in zip(texts, bases):
+            u = t if base else b" " + t
             s = u.replace(b" ", _BAR)
             if _BAR in t:
                 at, skip = 0, np.zeros(len(s), bool)
@@ -122,7 +132,7 @@ class PieceSampler:
         cum, tail, piece, node_edges, node_of = self._lattice(buf, skip, starts[chosen], length[chosen])
         # Backward sampling for every word at once.
         doc = np.searchsorted(begin, starts, side="right") - 1
-        key = _mix(keys.astype(np.uint64)[doc] ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) + (starts - begin[doc]).astype(np.uint64)
+        key = _mix(keys.astype(np.uint64)[doc] ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) + (starts - begin[doc] + np.array(bases, np.int64)[doc]).astype(np.uint64)
         at = length.copy()
         live = by_word  # equal words side by side, so that lookups stay near each other
         out = np.full(n, -1, np.int32)
@@ -266,26 +276,57 @@ def sampler(model_path: str, alpha: float) -> PieceSampler:
     return _SAMPLERS[model_path, alpha]
 
 
-def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_ids: bool = True) -> DataFrame:
+def text_blocks(text: bytes) -> list[tuple[int, bytes]]:
+    """(base, part) of a long text, cut where a word starts; the base counts the bytes before it as they are spelled."""
+    out, at, base = [], 0, 0
+    while True:
+        cut = _WORD.search(text, at + BLOCK) if len(text) - at > BLOCK else None
+        part = text[at : cut.start()] if cut else text[at:]
+        out.append((base, part))
+        if not cut:
+            return out
+        base += len(part) + 2 * part.count(b" ") + 3 * (at == 0)
+        at = cut.start()
+
+
+def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None, with_text: bool = False, with_ids: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_pieces, pieces_crc32, lossless[, piece_ids][, decoded]) for each whole text.
 
-    Null texts count as empty ones: the added space alone.  The row key is the id (null: 0), so repeated rows get
-    equal segmentations.  ``lossless`` says that decoding gave the text's bytes back.  Extra columns are ignored.
+    Null texts count as empty ones: the added space alone.  The row key is the id (null: 0) and the number of
+    the copy, if there is such a column; without it repeated rows get equal segmentations.  ``lossless``
+    says that decoding gave the text's bytes back.  Extra columns are ignored; an empty table gives no rows.
+    Long texts are worked through in blocks of words; a stretch of text without a space is one lattice and
+    takes about 80 times its bytes.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    copy = F.col(copy_col).cast("long") if copy_col else F.lit(0).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), copy.alias("copy"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     schema = "doc_id long, n_bytes long, n_pieces long, pieces_crc32 long, lossless boolean" + ", piece_ids array<int>" * with_ids + ", decoded binary" * with_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sp = sampler(model_path, alpha)
         for b in batches:
-            size = np.fromiter((len(t) + 64 for t in b["t"]), np.int64, len(b))
-            group = np.cumsum(size) // (1 << 18)
-            for _, part in b.groupby(group):
+            for rows_ in by_size([len(t) + 64 for t in b["t"]], BLOCK):
+                part = b.iloc[rows_]
                 texts = list(part["t"])
-                keys = part["doc_id"].fillna(0).to_numpy(np.int64)
-                got = sp.sample(texts, keys, seed)
+                keys = part["doc_id"].fillna(0).to_numpy(np.int64) + (part["copy"].fillna(0).to_numpy(np.int64) << 40)
+                if len(texts) > 1 or len(texts[0]) <= BLOCK:
+                    got = sp.sample(texts, keys, seed)
+                else:
+                    got = [np.concatenate([sp.sample([t], keys, seed, [base])[0] for base, t in text_blocks(texts[0])])]
                 back = [sp.decode(g) for g in got]
                 out = {"doc_id": part["doc_id"].astype("Int64"), "n_bytes": [len(t) for t in texts], "n_pieces": [len(g) for g in got], "pieces_crc32": [zlib.crc32(g.astype("<u4").tobytes()) for g in got], "lossless": [x == t for x, t in zip(back, texts)]}
                 yield pd.DataFrame(out | ({"piece_ids": [g.astype(np.int32) for g in got]} if with_ids else {}) | ({"decoded": back} if with_text else {}))
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(tidy(run), schema)
+
+
+def decode(encoded: DataFrame, model_path: str, ids_col: str = "piece_ids") -> DataFrame:
+    """The input with ``decoded``: the text's bytes from stored piece ids.  Null ids give null; an input column of that name is replaced."""
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sp = sampler(model_path, 1.0)
+        for ids in batches:
+            yield pd.Series([None if x is None else sp.decode(np.asarray(x)) for x in ids])
+
+    return encoded.withColumn("decoded", run(F.col(ids_col)))

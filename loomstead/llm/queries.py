@@ -97,9 +97,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sampled segmentation of every text and whether decoding gave the text back."""
+    """A sampled segmentation of every text with its piece ids, and whether decoding gave the text back."""
     bounded_batches(spark)
-    return pieces.encode(documents(spark, sf_dir), tokenizer_file(PIECES), with_ids=False)
+    return pieces.encode(documents(spark, sf_dir), tokenizer_file(PIECES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
