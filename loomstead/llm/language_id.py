@@ -10,7 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.llm.common import by_size, tidy
+
 UNKNOWN = "und"
+#: Characters of texts that are worked on at once; a longer text is cut where it has no letter.
+BLOCK = 200_000
 
 
 @lru_cache(1)
@@ -25,6 +29,19 @@ def _letters() -> np.ndarray:
     return table
 
 
+def blocks(text: str) -> list[str]:
+    """A text in parts that end before a character that is no letter, so that they have the text's n-grams together."""
+    if len(text) <= BLOCK:
+        return [text]
+    cuts = [0]
+    while len(text) - cuts[-1] > BLOCK:
+        at = cuts[-1] + BLOCK
+        while at < len(text) and text[at].isalpha():
+            at += 1
+        cuts.append(at)
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
 def grams(texts: list[str], buckets: int, orders: tuple[int, ...] = (1, 2, 3)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of each n-gram, its text, whether each text has a letter), over letters and single gaps, vectorised."""
     raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
@@ -61,16 +78,20 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and a score in 0..1: the posterior, its evidence evened out to 50 n-grams for longer texts."""
-        clean = [t or "" for t in texts]
-        b, o, has = grams(clean, len(self.log_prob))
-        order = np.argsort(o, kind="stable")
-        b, o = b[order], o[order]
-        total = np.zeros((len(clean), len(self.langs)))
-        n = np.bincount(o, minlength=len(clean))
-        for lo in range(0, len(b), 1 << 18):
-            part, who = self.log_prob[b[lo : lo + (1 << 18)]], o[lo : lo + (1 << 18)]
-            first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-            total[who[first]] += np.add.reduceat(part, first, axis=0)
+        clean = [blocks(t or "") for t in texts]
+        owner = np.repeat(np.arange(len(clean)), [len(x) for x in clean])
+        parts = [x for t in clean for x in t]
+        total, n, has = np.zeros((len(clean), len(self.langs))), np.zeros(len(clean), np.int64), np.zeros(len(clean), bool)
+        for rows in by_size([len(x) for x in parts], BLOCK):
+            b, o, letters = grams(parts[rows], len(self.log_prob))
+            order = np.argsort(o, kind="stable")
+            b, o = b[order], owner[rows][o[order]]
+            n += np.bincount(o, minlength=len(clean))
+            has[owner[rows][letters]] = True
+            for lo in range(0, len(b), 1 << 18):
+                part, who = self.log_prob[b[lo : lo + (1 << 18)]], o[lo : lo + (1 << 18)]
+                first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                total[who[first]] += np.add.reduceat(part, first, axis=0)
         best = (total + self.log_prior).argmax(axis=1) if self.langs else np.zeros(len(clean), int)
         known = has & bool(self.langs)
         if not self.langs:
@@ -108,14 +129,14 @@ def train(docs: DataFrame, buckets: int = 1 << 15, per_lang: int = 4000, alpha:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, part in b.groupby("lang"):
-                texts = part["t"].tolist()
-                for lo in range(0, len(texts), 200):
-                    sums[lang] = sums.get(lang, 0) + np.bincount(grams(texts[lo : lo + 200], buckets)[0], minlength=buckets)
+                texts = [x for t in part["t"] for x in blocks(t)]
+                for rows in by_size([len(x) for x in texts], BLOCK):
+                    sums[lang] = sums.get(lang, 0) + np.bincount(grams(texts[rows], buckets)[0], minlength=buckets)
         for lang, c in sums.items():
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": c[at]})
 
-    counts = chosen.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = chosen.mapInPandas(tidy(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((buckets, len(langs)), alpha)
     table[counts["bucket"].to_numpy(int), counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)] += counts["n"].to_numpy(float)
     log_prob = np.log(table) - np.log(table.sum(axis=0))
@@ -125,12 +146,17 @@ def train(docs: DataFrame, buckets: int = 1 << 15, per_lang: int = 4000, alpha:
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The input with lang_pred and score; ``und`` and 0 where the text is null or has no letter.
 
-    Prediction reads the text alone.  Input columns named lang_pred or score are replaced.
+    Prediction reads the text alone, so repeated rows get equal results; languages of equal probability give
+    the first by name.  Long texts are worked through in blocks cut where there is no letter.  Input columns
+    named lang_pred or score are replaced; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(scored)(texts)
+
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             langs, scores = [], []
             t = s.tolist()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.llm import tiff
+from loomstead.llm.common import by_size, tidy
 
 UNIT = 64
 #: Rows of 64 bytes that one page holds at most.
@@ -34,16 +35,20 @@ def encode_payload(text: bytes) -> bytes:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, media): every whole text as a TIFF; null texts as empty ones."""
+    """(doc_id, media): every whole text as a TIFF.
+
+    Null texts are stored as empty ones, null ids stay null, repeated rows are stored each, extra columns are
+    ignored, and an empty table gives no rows.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), 200):
-                part = b.iloc[lo : lo + 200]
+            for rows_ in by_size([len(t) + 256 for t in b["t"]], 1 << 20):
+                part = b.iloc[rows_]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "media": [encode_payload(t) for t in part["t"]]})
 
-    return rows.mapInPandas(run, "doc_id long, media binary")
+    return rows.mapInPandas(tidy(run), "doc_id long, media binary")
 
 
 def pages(media: DataFrame, key_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -73,11 +78,15 @@ def pages(media: DataFrame, key_col: str = "doc_id", media_col: str = "media") -
             yield pd.DataFrame(out, columns=names)
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(tidy(run), schema)
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Per stored document, from the stored bytes alone: sizes, checksums and a feature string over its pages."""
+    """Per stored document, from the stored bytes alone: sizes, checksums and a feature string over its pages.
+
+    Repeated rows give their row again; of grey levels equally frequent the darkest is the mode; an empty
+    table gives no rows.  A file that ``store`` did not write is an error (``pages`` reads any).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -94,4 +103,4 @@ def digests(media: DataFrame) -> DataFrame:
                 out.append((key, length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": "Int64"})
 
-    return media.select("doc_id", "media").mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "media").mapInPandas(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

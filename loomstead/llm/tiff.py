@@ -19,6 +19,8 @@ FIELD = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i"
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CODECS = {"none": NONE, "lzw": LZW, "deflate": DEFLATE, "packbits": PACKBITS}
 _CLEAR, _END = 256, 257
+#: Bytes that one stored byte can stand for at most: a code of LZW or a symbol pair of deflate.
+MOST_EXPANDED = 2800
 
 
 class TiffError(ValueError):
@@ -225,6 +227,41 @@ def _samples(raw: bytes, rows: int, cols: int, spp: int, bits: int, order: str,
     return a
 
 
+def _page(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
+    def number(tag: int, otherwise: int | None = None) -> int:
+        value = tags[tag][0] if otherwise is None or tag in tags else otherwise
+        if not isinstance(value, int) or value < 1:
+            raise TiffError(f"field {tag} is no positive whole number")
+        return value
+
+    width, height, spp, bits = number(WIDTH), number(HEIGHT), number(SAMPLES, 1), number(BITS, 1)
+    codec, predictor = number(COMPRESSION, NONE), number(PREDICTOR, 1)
+    if bits not in (8, 16, 32) or predictor not in (1, 2) or len(set(tags.get(BITS, (bits,)))) > 1:
+        raise TiffError("samples of this kind are not known")
+    planes = spp if tags.get(PLANAR, (1,))[0] == 2 else 1
+    each = spp // planes
+    if TILE_WIDTH in tags:
+        tw, th, offsets, counts = number(TILE_WIDTH), number(TILE_HEIGHT), tags[TILE_OFFSETS], tags[TILE_COUNTS]
+    else:
+        tw, th, offsets, counts = width, min(height, number(ROWS_PER_STRIP, height)), tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+    across, down = -(-width // tw), -(-height // th)
+    if len(offsets) != planes * across * down or len(counts) != len(offsets):
+        raise TiffError("strips or tiles are missing")
+    # A page holds no more than its strips and tiles can expand to, and a tile no more than its page twice over each way.
+    if width * height * spp * bits // 8 > MOST_EXPANDED * (len(data) + 64) or tw * th * each * bits // 8 > MOST_EXPANDED * (len(data) + 64):
+        raise TiffError("a page is larger than its data can be")
+    pixels = np.zeros((height, width, spp), np.dtype(f"u{bits // 8}"))
+    for k, (o, c) in enumerate(zip(offsets, counts)):
+        plane, k = divmod(k, across * down)
+        y, x = (k // across) * th, (k % across) * tw
+        rows = th if TILE_WIDTH in tags else min(th, height - y)
+        raw = expand(data[o : o + c], codec, rows * tw * each * bits // 8)
+        block = _samples(raw, rows, tw, each, bits, order, predictor)
+        h, w = min(rows, height - y), min(tw, width - x)
+        pixels[y : y + h, x : x + w, plane * each : plane * each + each] = block[:h, :w]
+    return pixels
+
+
 def read_pages(data: bytes) -> Iterator[Page]:
     """Walk the chain of image directories and decode each page; a loop in the chain is an error."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -238,32 +275,11 @@ def read_pages(data: bytes) -> Iterator[Page]:
         seen.add(at)
         tags, at = _directory(data, at, order)
         try:
-            width, height = tags[WIDTH][0], tags[HEIGHT][0]
-            spp = tags.get(SAMPLES, (1,))[0]
-            bits = tags.get(BITS, (1,))[0]
-            codec, predictor = tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0]
-            if bits not in (8, 16, 32) or predictor not in (1, 2) or len(set(tags.get(BITS, (bits,)))) > 1:
-                raise TiffError("samples of this kind are not known")
-            planes = spp if tags.get(PLANAR, (1,))[0] == 2 else 1
-            each = spp // planes
-            pixels = np.zeros((height, width, spp), np.dtype(f"u{bits // 8}"))
-            if TILE_WIDTH in tags:
-                tw, th, offsets, counts = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0], tags[TILE_OFFSETS], tags[TILE_COUNTS]
-            else:
-                tw, th, offsets, counts = width, min(height, tags.get(ROWS_PER_STRIP, (height,))[0]), tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
-            across, down = -(-width // tw), -(-height // th)
-            if len(offsets) != planes * across * down or len(counts) != len(offsets):
-                raise TiffError("strips or tiles are missing")
-            for k, (o, c) in enumerate(zip(offsets, counts)):
-                plane, k = divmod(k, across * down)
-                y, x = (k // across) * th, (k % across) * tw
-                rows = th if TILE_WIDTH in tags else min(th, height - y)
-                raw = expand(data[o : o + c], codec, rows * tw * each * bits // 8)
-                block = _samples(raw, rows, tw, each, bits, order, predictor)
-                h, w = min(rows, height - y), min(tw, width - x)
-                pixels[y : y + h, x : x + w, plane * each : plane * each + each] = block[:h, :w]
+            pixels = _page(data, tags, order)
         except (KeyError, IndexError) as e:
             raise TiffError(f"a page lacks field {e}") from e
+        except (ValueError, TypeError, ArithmeticError, MemoryError, struct.error) as e:
+            raise e if isinstance(e, TiffError) else TiffError(f"a page cannot be read: {e}") from e
         yield Page(tags, pixels)
 
 
