@@ -87,14 +87,20 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
+#: Groups that this Python worker has worked on.
+_GROUPS = {"done": 0}
+
+
 def tidy_group(work: Callable) -> Callable:
-    """A function of a group (or of a key and one or two groups) that gives its memory back after each."""
+    """A function of a group (or of a key and one or two groups) that gives its memory back now and then."""
 
     def run(*groups):
+        _GROUPS["done"] += 1
         try:
             return work(*groups)
         finally:
-            give_back(collect=False)
+            if _GROUPS["done"] % 25 == 0:
+                give_back(collect=False)
 
     # Spark counts the parameters.
     by_count = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}

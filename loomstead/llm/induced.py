@@ -31,8 +31,6 @@ import numpy as np
 LIMIT = 12 << 20
 #: Positions of a string that are read at once, and tuples that come out of a queue at once.
 BLOCK, BATCH = 1 << 18, 1 << 15
-#: Characters of a string that is ordered in memory.
-SHORT = 1 << 16
 _FAR = np.uint8(255)
 
 Columns = tuple[np.ndarray, ...]
@@ -250,7 +248,7 @@ def _names(text: _Text, star: np.ndarray) -> tuple[np.ndarray, int]:
             run = np.diff(np.append(np.flatnonzero(new), len(i)))
             again = i[np.repeat(run > 1, run)]
             size = np.append(star[1:], star[-1:])[again] - star[again] if len(again) < BLOCK else np.asarray(star)[np.minimum(again + 1, m - 1)] - star[again]
-            active.append(np.sort(again[size >= depth]))
+            active.append(np.sort(again[size + 1 >= depth]))  # one that ends just here comes after those that go on
         n = sum(len(c[0]) for c in active)
         if not n:
             break
@@ -488,12 +486,13 @@ def _doubled(chars: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def suffix_order(chars: np.ndarray, alphabet: int | None = None, width: int = 50, limit: int = LIMIT, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(chars: np.ndarray, alphabet: int | None = None, width: int = 50, limit: int = LIMIT, short: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, common prefixes) of non-negative integers whose last one is the unique least.
 
     The common prefix of a suffix is that with the one before it, cut at ``width`` (2 to 250).  Strings of
-    at most ``short`` characters, at the end of the recursion, are ordered in memory.
+    at most ``short`` characters (a twelfth of the limit) end the recursion and are ordered in memory.
     """
+    short = limit // 12 if short is None else short
     if 1 < len(chars) <= short:
         return _doubled(np.asarray(chars), width)
     text = _Text(chars, alphabet or int(chars.max()) + 1, limit)

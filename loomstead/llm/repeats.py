@@ -42,7 +42,7 @@ from loomstead.llm.common import fresh_path, kept, shuffle_width, tidy, tidy_gro
 
 WIDTH, GRAM = 50, 24
 #: Windows in a segment at most, and bytes of text in a chunk, behind a bucket of questions and in a sorting shard (about).
-LONGEST, CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES = 64, 1 << 19, 8 << 20, 4 << 20
+LONGEST, CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES = 64, 1 << 19, 8 << 20, 8 << 20
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -334,7 +334,7 @@ def _spans(chunked: _Chunks, width: int) -> DataFrame:
     _release(spark)
     segments = spots.where("kind = 1").select("h", "s", "segment", "k")
     amount = spots.where("kind = 1").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n")).first()["n"]
-    shards = max(parts, -(-amount // SHARD_BYTES))
+    shards = max(1, -(-amount // SHARD_BYTES))
     segments = segments.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
     # Anchors of more text than a shard: looked for in overfull shards only, so at most one anchor for each SHARD_BYTES.
     sizes = spots.where("kind = 1").select("h", "a", F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
@@ -350,7 +350,7 @@ def _spans(chunked: _Chunks, width: int) -> DataFrame:
             yield pd.DataFrame({"h": np.repeat(b["h"].to_numpy(np.int64), m), "s": np.repeat(b["s"].to_numpy(np.int64), m), "k": np.repeat(b["k"].to_numpy(np.int64), m), "lo": lo.astype(np.int32), "w": w})
 
     # At most one hot anchor for each SHARD_BYTES of segments; the joins choose their strategy by the written table's size.
-    cold = segments.join(hot, "h", "left_anti").repartition(min(shards, 4 * parts), "shard").sortWithinPartitions("shard", "h", "s")
+    cold = segments.join(hot, "h", "left_anti").repartition(shards, "shard").sortWithinPartitions("shard", "h", "s")
     runs = cold.mapInPandas(tidy(lambda batches: settled(batches, width)), "h long, s long, lo int, n int, least long")
     if not hot.isEmpty():
         large = segments.join(hot, "h", "left_semi").select("h", "s", "segment", "k")

@@ -140,6 +140,20 @@ def test_suffix_order_and_common_prefixes(letters, limit):
                 assert c == min(10, [*equal, False].index(False))
 
 
+@pytest.mark.parametrize("letters", [2, 7, 300, 20_000])
+def test_suffix_order_of_repeated_passages(letters):
+    """Long equal substrings that end at any place of a packed word, in alphabets of one to sixteen characters a word."""
+    rng = np.random.default_rng(letters)
+    base = rng.integers(1, letters + 1, 400)
+    a = np.append(np.concatenate([base[k : k + n] for k, n in zip(rng.integers(0, 300, 120), rng.integers(5, 100, 120))]), 0)
+    order, common = induced.suffix_order(a, width=14, limit=4096, short=0)
+    suffixes = [tuple(a[i:].tolist()) for i in range(len(a))]
+    assert order.tolist() == sorted(range(len(a)), key=suffixes.__getitem__)
+    assert common[1:].tolist() == [min(14, [*map(lambda p, q: p == q, suffixes[x], suffixes[y]), False].index(False)) for x, y in zip(order, order[1:])]
+    again, prefixes = induced.suffix_order(a, width=14, limit=4096)
+    assert (again == order).all() and (prefixes == common).all()
+
+
 def test_a_shard_far_larger_than_its_memory_bound(monkeypatch):
     """1.2 million tuples through queues of 64 kB: they spill again and again, and classes are those of a dictionary."""
     rng = np.random.default_rng(2)
