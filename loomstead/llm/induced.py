@@ -349,7 +349,8 @@ class _Induction:
                 prefix = prefix.copy()
                 prefix[seam] = np.minimum(self.text.runs(left, int(self.width)), self.text.runs(at[seam].astype(np.int64), int(self.width)))
         own = key & 1 == 0
-        self.out.append(key[own] >> 1, at[own], context[own], prefix[own]) if not own.all() else self.out.append(key >> 1, at, context, prefix)
+        done = (key >> 1, at, prefix) if self.flip else (key >> 1, at, context, prefix)  # only L suffixes are seeds again
+        self.out.append(*(done if own.all() else (x[own] for x in done)))
         self.last_key, self.last_at = int(key[-1]), int(at[-1])
         i = np.flatnonzero(gives)
         if not len(i):
@@ -390,7 +391,7 @@ class _Induction:
         return key.astype(self.text.key), at.astype(self.text.position), rows[:, 0], low.astype(np.uint8)
 
     def run(self, seeds: Iterator[Columns]) -> Sequence:
-        """``seeds`` are (character, position, context, common prefix) in order; the result is of that form too."""
+        """``seeds`` are (character, position, context, common prefix) in order; the result is of that form too, without contexts in the second phase."""
         ready: list[Columns] = []
 
         def upto(end: int) -> Iterator[Columns]:
@@ -545,7 +546,7 @@ def suffix_order(chars: np.ndarray, alphabet: int | None = None, width: int = 50
         done += len(c)
     done, order[0] = 1, text.n - 1  # the last suffix is the least and the first S suffix
     follows = np.zeros(1, np.uint8)
-    for c, at, _, prefix in small.backwards():
+    for c, at, prefix in small.backwards():
         place = np.arange(done, done + len(c)) + upto_large[text.alphabet - 1 - c]
         order[place], common[place] = at, np.concatenate([follows, prefix[:-1]])
         follows, done = prefix[-1:], done + len(c)

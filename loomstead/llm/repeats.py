@@ -42,7 +42,7 @@ from loomstead.llm.common import fresh_path, kept, shuffle_width, tidy, tidy_gro
 
 WIDTH, GRAM = 50, 24
 #: Windows in a segment at most, and bytes of text in a chunk, behind a bucket of questions and in a sorting shard (about).
-LONGEST, CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES = 64, 1 << 19, 8 << 20, 8 << 20
+LONGEST, CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES = 64, 1 << 19, 8 << 20, 2 << 20
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -185,6 +185,8 @@ class _Chunks:
         rows.write.bucketBy(self.parts, "c").option("path", fresh_path(spark, "repeat-chunks")).saveAsTable(name)
         self.rows = spark.table(name)
         spark.sql(f"drop table {name}")
+        del rows
+        _release(spark)
 
     def of(self, k: str, t: str):
         return F.pmod(F.xxhash64(k, t), F.lit(self.chunks)).cast("int")
