@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomstead.operators import contexts as C
 from loomstead.operators import graph as G
 from loomstead.operators import joins as J
+from loomstead.plans import rule_queries
 from loomstead.plans.shared_sql import Q
 from loomstead.sources.tables import duck_text, register, with_relations
 
@@ -198,9 +199,9 @@ _FRAMES = (first_match_join, multilevel_pairing, entry_reach, shortest_trace, re
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _declared(body) for name, body in Q.items()} | {f.__name__: f for f in _FRAMES}
+    return {name: _declared(body) for name, body in Q.items()} | {f.__name__: f for f in _FRAMES} | rule_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     declared = {name: with_relations(body, "duck") for name, body in Q.items()}
-    return declared | {name: with_relations(body, "duck").replace("WITH ", "WITH RECURSIVE ", 1) for name, body in _DUCK.items()}
+    return declared | {name: with_relations(body, "duck").replace("WITH ", "WITH RECURSIVE ", 1) for name, body in _DUCK.items()} | rule_queries.oracle_sql()

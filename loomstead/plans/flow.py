@@ -60,8 +60,9 @@ def _statements(facts: DataFrame) -> DataFrame:
 
 #: How the words of a statement part into what is read and what is set, by verb.
 _SPLITS = {
-    "MOVE": r"^(?:CORR(?:ESPONDING)? )?(.*?) TO (.*)$", "STRING": r"^(.*?) INTO (\S+)", "UNSTRING": r"^(\S+) .*?INTO (.*)$", "ADD": r"^(.*?) (?:TO|GIVING) (.*)$",
-    "SUBTRACT": r"^(.*?) (?:FROM|GIVING) (.*)$", "DIVIDE": r"^(.*?) (?:INTO|GIVING) (.*)$", "MULTIPLY": r"^(.*?) (?:BY|GIVING) (.*)$", "SET": r"^()(.*)$",
+    "MOVE": r"^(?:CORR(?:ESPONDING)? )?(.*?) TO (.*)$", "STRING": r"^(.*?) INTO (\S+)", "UNSTRING": r"^(\S+) .*?INTO (.*)$", "ADD": r"^(.*(?= GIVING )|.*?(?= TO )) (?:TO|GIVING) (.*)$",
+    "SUBTRACT": r"^(.*(?= GIVING )|.*?(?= FROM )) (?:FROM|GIVING) (.*)$", "DIVIDE": r"^(.*(?= GIVING )|.*?(?= INTO )) (?:INTO|GIVING) (.*)$",
+    "MULTIPLY": r"^(.*(?= GIVING )|.*?(?= BY )) (?:BY|GIVING) (.*)$",  # with GIVING all operands before it are read "SET": r"^()(.*)$",
 }
 
 

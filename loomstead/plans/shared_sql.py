@@ -23,7 +23,7 @@ Q["version_match"] = ", ranges AS (SELECT * FROM (VALUES ('low', 0, 0, 10, 5), (
 Q["name_classify"] = "SELECT p_partkey, CASE WHEN RX(p_name, '(^| )(safe|ivory|linen)( |$)') THEN 'safe' WHEN RX(p_name, '(^| )(red|burnt|steel|blue)( |$)') THEN 'credential' WHEN RX(p_name, '(^| )(green|almond|antique|part)( |$)') THEN 'personal' ELSE 'none' END AS class FROM part"
 for _name, _pattern in {"encoded_run": "[0-9a-fA-F]{32,}", "invisible_chars": "[​‮⁦⁩]", "fetch_and_run": "(curl|wget)[^|]*[|] *(ba)?sh"}.items():
     Q[_name] = f"SELECT lang, CAST(sum(CASE WHEN RX(line, '{_pattern}') THEN 1 ELSE 0 END) AS BIGINT) AS hits, count(*) AS n_lines FROM lines GROUP BY lang"
-Q["pack_rules"] = "SELECT r.rule, l.lang, count(*) AS hits, count(DISTINCT l.doc_id) AS docs FROM lines l JOIN line_rules r ON RX(l.line, r.pattern) GROUP BY r.rule, l.lang"
+Q["pack_rules"] = "SELECT rule, program AS lang, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM findings0 GROUP BY rule, program"
 Q["feed_validate"] = """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT RX(props, '"k": *-?[0-9]+ *[,}]') THEN 'not a whole number' WHEN RX(props, '"k": *-') THEN 'negative' ELSE 'accepted' END AS reason FROM events) e GROUP BY reason"""
 Q["site_facts"] = """SELECT event_type, count(*) AS n, CAST(sum(CAST(concat('0', regexp_extract(props, '"k": *([0-9]+)', 1)) AS BIGINT)) AS BIGINT) AS total_k FROM events GROUP BY event_type"""
 
@@ -72,7 +72,7 @@ _G = ", s AS (SELECT doc_id, line_no, line, sum(CASE WHEN RX(line, '^[A-Z]') THE
 Q["fold_statements"] = _G + "SELECT doc_id, CAST(grp AS BIGINT) AS statement, min(line_no) AS first_line, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM s GROUP BY doc_id, grp"
 Q["running_group"] = _G + "SELECT doc_id, CAST(max(grp) AS BIGINT) AS groups, count(*) AS n_lines FROM s GROUP BY doc_id"
 Q["scope_forward_fill"] = "SELECT user_id, event_id, max(CASE WHEN verb = 'signup' THEN event_id END) OVER (PARTITION BY user_id, scope) AS scope_start FROM (SELECT *, sum(CASE WHEN verb = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS scope FROM prog) p"
-Q["consecutive_runs"] = ", q AS (SELECT doc_id, line_no, line, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM lines WHERE length(line) < 30 AND length(line) > 0) SELECT doc_id, min(line_no) AS first_line, count(*) AS n, count(DISTINCT line) AS kinds FROM q GROUP BY doc_id, island HAVING count(*) >= 4 AND count(DISTINCT line) >= 3"
+Q["consecutive_runs"] = ", q AS (SELECT doc_id, line_no, line, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM lines WHERE length(line) BETWEEN 40 AND 120) SELECT doc_id, min(line_no) AS first_line, count(*) AS n, count(DISTINCT line) AS kinds FROM q GROUP BY doc_id, island HAVING count(*) >= 4 AND count(DISTINCT line) >= 3"
 Q["adjacent_pair"] = ", n AS (SELECT user_id, event_id, verb, lead(verb) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after_id FROM prog) SELECT user_id, event_id, after_id FROM n WHERE verb = 'error' AND after = 'view'"
 Q["untested_before_reuse"] = ", n AS (SELECT user_id, event_id, verb, lead(verb) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after_id FROM prog WHERE verb IN ('error', 'view', 'click')) SELECT user_id, event_id AS setter, after_id AS reader FROM n WHERE verb = 'error' AND after = 'click'"
 Q["layout_offsets"] = ", s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, CAST(ceil(l_quantity / 8) * 8 AS BIGINT) AS size FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, size, CAST(sum(size) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS off FROM s"
@@ -83,8 +83,6 @@ Q["hash_chain_verify"] = ", c AS (SELECT conv_id, turn, SHA(text) AS digest, lag
 Q["sarif_artifact_index"] = ", p AS (SELECT DISTINCT path FROM findings0), r AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS artifact FROM p) SELECT f.rule, f.path, f.line, r.artifact FROM findings0 f JOIN r ON r.path = f.path"
 Q["explain_lines"] = "SELECT f.rule, f.path, f.line AS finding_line, l.line_no, l.line AS text FROM findings0 f JOIN lines l ON l.doc_id = f.doc_id AND l.line_no BETWEEN f.line - 2 AND f.line + 2"
 Q["trace_elide"] = ", n AS (SELECT doc_id, line_no, line, count(*) OVER (PARTITION BY doc_id) AS total FROM lines) SELECT doc_id, line_no, CASE WHEN total > 10 AND line_no = 4 THEN '...' ELSE line END AS line FROM n WHERE total <= 10 OR line_no <= 4 OR line_no > total - 3"
-Q["positional_scope"] = "SELECT conv_id, turn, role, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS last_user FROM conversations"
-del Q["positional_scope"]
 
 # --- sets, verdicts, identity
 Q["multiset_diff"] = "SELECT l_returnflag, l_linestatus, count(*) AS extra FROM (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE year(l_shipdate) = 1995 EXCEPT ALL SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE year(l_shipdate) = 1996) d GROUP BY l_returnflag, l_linestatus"

@@ -82,12 +82,12 @@ def _item(words: list[tuple[str, int]]) -> dict | None:
     level, line = int(words[0][0]), words[0][1]
     w = [x[0] for x in words[1:]]
     named = bool(w) and w[0] not in ("PIC", "PICTURE", "REDEFINES", "OCCURS", "VALUE", "USAGE") and not _USAGES.match(w[0])
-    item = {"level": level, "line": line, "name": w[0] if named else "FILLER", "picture": "", "usage": "", "occurs": 1, "redefines": None, "value": None}
+    item = {"level": level, "line": line, "name": w[0] if named else "FILLER", "picture": "", "usage": "", "occurs": 1, "redefines": None, "value": None, "separate": 0}
     i = int(named)
     while i < len(w):
         if w[i] in ("PIC", "PICTURE"):
             i += 1 + (i + 1 < len(w) and w[i + 1] == "IS")
-            while i < len(w) and w[i] not in ("USAGE", "VALUE", "VALUES", "OCCURS", "REDEFINES", "SIGN", "SYNC", "JUSTIFIED", "BLANK") and not _USAGES.match(w[i]):
+            while i < len(w) and w[i] not in ("USAGE", "VALUE", "VALUES", "OCCURS", "REDEFINES", "SIGN", "LEADING", "TRAILING", "SYNC", "JUSTIFIED", "BLANK") and not _USAGES.match(w[i]):
                 item["picture"] += w[i]
                 i += 1
             continue
@@ -97,6 +97,8 @@ def _item(words: list[tuple[str, int]]) -> dict | None:
             item["occurs"] = next((int(x) for x in reversed(w[i + 1 : i + 4]) if x.isdigit() and (x == w[i + 1] or "TO" in w[i + 1 : i + 4])), 1)
         elif w[i] == "REDEFINES" and i + 1 < len(w):
             item["redefines"] = w[i + 1]
+        elif w[i] == "SEPARATE" and ("LEADING" in w[max(0, i - 2) : i] or "TRAILING" in w[max(0, i - 2) : i]):
+            item["separate"] = 1  # the sign has a character of its own
         elif w[i] in ("VALUE", "VALUES"):
             item["value"] = next((x for x in w[i + 1 :] if x not in ("IS", "ARE")), None)
         i += 1
@@ -126,6 +128,7 @@ def layout(items: list[dict]) -> None:
         it["off"] = at
         if not kids[i]:
             one = picture_size(it["picture"], it["usage"])
+            one = one if one is None else one + it["separate"]
         else:
             begin, end, spot = at, at, {}
             for k in kids[i]:

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 FILES = "path string, content binary"
 TEXTS = "path string, text string, encoding string, problem string"
 
-#: Kinds by extension, first match wins.
+# Kinds by extension, first match wins.
 KINDS = (
-    ("program", r"(?i)[.](cbl|cob|cobol|pco)$"), ("copybook", r"(?i)[.](cpy|copy)$"), ("jcl", r"(?i)[.](jcl|prc|proc)$"), ("bms", r"(?i)[.]bms$"),
-    ("csd", r"(?i)[.]csd$"), ("ims", r"(?i)[.](dbd|psb)$"), ("db2", r"(?i)[.](ddl|sql)$"), ("pli", r"(?i)[.](pli|pl1)$"), ("assembler", r"(?i)[.](asm|hlasm|mac)$"),
+    ("program", r"(?i)[.](cbl|cob|cobol|pco|sqb)$"), ("copybook", r"(?i)[.](cpy|copy|inc)$"), ("jcl", r"(?i)[.](jcl|prc|proc|job|cntl)$"), ("bms", r"(?i)[.]bms$"),
+    ("csd", r"(?i)[.]csd$"), ("ims", r"(?i)[.](dbd|psb)$"), ("db2", r"(?i)[.](ddl|sql|db2)$"), ("pli", r"(?i)[.](pli|pl1|plx)$"), ("assembler", r"(?i)[.](asm|hlasm|mac|mlc|assemble)$"),
 )
 #: Kinds by the head of a text, where the extension says nothing.
 HEADS = (
@@ -65,12 +65,12 @@ def revision(spark: SparkSession, repository: str, rev: str, out: str, chunk_byt
 
 
 def looks_ebcdic(content: bytes) -> bool:
-    """At least 60 % EBCDIC letters, digits and blanks and under 25 % ASCII ones in the first 8 KB; a NUL is binary."""
+    """More than 60 % EBCDIC letters, digits and blanks and under 25 % ASCII ones in the first 8 KB; a NUL is binary."""
     head = content[:8192]
-    if not head or 0 in head:
+    if len(head) < 16 or 0 in head:
         return False
     there = lambda ok: sum(map(ok.__contains__, head)) / len(head)
-    return there(_EBCDIC_TEXT) >= 0.6 and there(_ASCII_TEXT) < 0.25
+    return there(_EBCDIC_TEXT) > 0.6 and there(_ASCII_TEXT) < 0.25
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "
@@ -84,7 +84,7 @@ def decode(content: bytes | None) -> tuple[str | None, str, str | None]:
     content = bytes(content)
     if looks_ebcdic(content):
         text = content.decode("cp037").replace("\x85", "\n")
-        if text.count("\n") < len(text) // 160 and len(text) >= 80:
+        if text.count("\n") < len(text) // 160 and len(text) % 80 == 0:
             text = "\n".join(text[i : i + 80].rstrip() for i in range(0, len(text), 80))
         return text, "ebcdic", None
     if 0 in content[:8192]:

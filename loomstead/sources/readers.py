@@ -177,6 +177,13 @@ def read_ddl(text: str) -> Iterator[Fact]:
             continue
         kind = o[1].split()[-1].upper()
         yield Fact(f"{verb.lower()}-{kind.lower()}", line, o[2], None, kind)
+        if verb == "CREATE" and kind == "TABLE":
+            for e in re.finditer(r"\b(EDITPROC|VALIDPROC|FIELDPROC)\s+([\w$#@]+)", o[3], re.I):
+                yield Fact("exit-routine", line, e[2].upper(), o[2], e[1].upper())
+        if verb == "CREATE" and kind in ("PROCEDURE", "FUNCTION"):
+            e = re.search(r"\bEXTERNAL\b(?:\s+NAME\s+(?:'([^']*)'|\"?([\w$#@.!]+)\"?))?", o[3], re.I)
+            if e:
+                yield Fact("external-routine", line, o[2], None, e[1] or e[2])
         body = re.search(r"\((.*)\)", o[3], re.S)
         if verb == "CREATE" and kind == "TABLE" and body:
             for part in split_operands(body[1]):
