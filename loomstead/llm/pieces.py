@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loomstead.llm.common import by_size, tidy
 
 #: Bytes of texts that are worked on at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 _WORD = re.compile(rb"(?<! ) ")
 _BAR = "▁".encode()
 _LOST = -1e30
