@@ -15,7 +15,9 @@ def components(edges: DataFrame, what: str = "cc") -> DataFrame:
     and edges inside a component go.  In each component that still has an edge at least one root goes,
     and in all but its local least ones every root does; a star whose centre has the largest id takes two
     rounds.  The loop runs until no edge is left.  Each round is written to the shared folder; only
-    whether edges are left reaches the driver.  Empty edges give an empty table; loops and nulls are dropped.
+    whether edges are left reaches the driver.  Every table here grows with the input and packs well as
+    Parquet, so file sizes mislead Spark and no join may broadcast one.  Empty edges give an empty table;
+    loops and nulls are dropped.
     """
     edges = kept(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), what)
     labels = kept(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")), what)
@@ -25,12 +27,12 @@ def components(edges: DataFrame, what: str = "cc") -> DataFrame:
         up = hook.select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
         for _ in range(2):
             over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
-            up = up.join(over, "up", "left").select("node", F.coalesce("over", "up").alias("up"))
+            up = up.join(over.hint("merge"), "up", "left").select("node", F.coalesce("over", "up").alias("up"))
         up = kept(up.where("up <> node"), what)
         moved = up.select(F.col("node").alias("root"), "up")
-        labels = kept(labels.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root")), what)
+        labels = kept(labels.join(moved.hint("merge"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), what)
         ends = live
         for side in ("a", "b"):
-            ends = ends.join(up.select(F.col("node").alias(side), F.col("up").alias(f"{side}_up")), side, "left").withColumn(side, F.coalesce(f"{side}_up", side)).drop(f"{side}_up")
+            ends = ends.join(up.select(F.col("node").alias(side), F.col("up").alias(f"{side}_up")).hint("merge"), side, "left").withColumn(side, F.coalesce(f"{side}_up", side)).drop(f"{side}_up")
         live = kept(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), what)
     return labels

@@ -83,7 +83,7 @@ def families(nodes: DataFrame) -> DataFrame:
     paired = nodes.select("node", F.posexplode("one").alias("i", "e"), "two").select("node", "i", "e", F.posexplode("two").alias("j", "f"))
     keyed = paired.select("node", F.xxhash64("i", "j", "e", "f").alias("key"))
     least = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    links = keyed.join(least, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    links = keyed.join(least.hint("merge"), "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     return components(links, "families").select("node", F.col("root").alias("family"))
 
 
@@ -201,14 +201,14 @@ def verified_links(docs: DataFrame, family: DataFrame, size: int, percent: int,
     if large.isEmpty():
         return small
     least = large.where(F.col("block") < FIRST_BLOCKS).groupBy("family", "block").agg(F.min("node").alias("node")).select("family", "node")
-    first = large.join(least, ["family", "node"], "left_semi")
+    first = large.join(least.hint("merge"), ["family", "node"], "left_semi")
     star = kept(links(large, to_all_blocks(first, F.lit(0))), "first-links")
     roots = components(star, "first-groups")
-    placed = large.select("node", "family").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = large.select("node", "family").distinct().join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     largest = placed.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("root"))
-    rest = kept(placed.join(largest, ["family", "root"], "left_anti").select("node", "family"), "rest-nodes")
+    rest = kept(placed.join(largest.hint("merge"), ["family", "root"], "left_anti").select("node", "family"), "rest-nodes")
     crowd = rest.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("groups"))
-    asking = large.join(rest.hint("merge"), ["node", "family"]).join(crowd, "family")
+    asking = large.join(rest.hint("merge"), ["node", "family"]).join(crowd.hint("merge"), "family")
     later = links(large, to_all_blocks(asking, F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")).cast("int")))
     return small.union(star).union(later)
 
@@ -228,6 +228,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     nodes = kept(nodes, "nodes")
     family = families(nodes)
     roots = components(verified_links(docs, family, size, percent, id_col, text_col), "groups")
-    grouped = nodes.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "sig").join(grouped, "sig", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    grouped = nodes.join(roots.hint("merge"), "node", "left").select("sig", F.coalesce("root", "node").alias("component_id"))
+    out = found.select("doc_id", "n_shingles", "sig").join(grouped.hint("merge"), "sig", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

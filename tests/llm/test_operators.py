@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomstead.llm import induced, language_id, media, mixing, near_duplicates, pieces, queries, repeats, sharding, tiff, token_counts, token_store, topk
+from loomstead.llm import graph, induced, language_id, media, mixing, near_duplicates, pieces, queries, repeats, sharding, tiff, token_counts, token_store, topk
 from loomstead.llm.common import documents
 
 SF = "/root/testdata/sf0.001"
@@ -401,3 +401,17 @@ def test_pipeline_stages_keep_columns(spark):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.where("not lossless").count() == 0 and last.count() == docs.count()
+
+
+def _joins_of(monkeypatch, run, *modules):
+    """The plans of all tables that ``run`` writes between steps, and of its result."""
+    plans = []
+    for m in modules:
+        monkeypatch.setattr(m, "kept", lambda df, what, f=m.kept: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, what))
+    out = run()
+    return [*plans, out._jdf.queryExecution().executedPlan().toString()]
+
+
+def test_near_duplicates_broadcast_no_growing_table(spark, monkeypatch):
+    plans = _joins_of(monkeypatch, lambda: near_duplicates.near_duplicates(documents(spark, SF), size=3, percent=85), near_duplicates, graph)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
