@@ -207,7 +207,7 @@ def _spans(chunked: _Chunks, width: int) -> DataFrame:
 
     digests = kept(rows.select("k", "t", "c", F.length("body").alias("size"), F.unhex(F.sha2("body", 256)).alias("digest")), "repeat-digests")
     firsts = digests.groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    copies = kept(digests.join(firsts, "digest").where("k > first").select("k", "t", "c", "size"), "repeat-copies")
+    copies = kept(digests.join(firsts.hint("merge"), "digest").where("k > first").select("k", "t", "c", "size"), "repeat-copies")
 
     def sort(part: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["k", "t"], kind="stable").drop_duplicates(["k", "t"])
@@ -351,7 +351,7 @@ def _spans(chunked: _Chunks, width: int) -> DataFrame:
             lo = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
             yield pd.DataFrame({"h": np.repeat(b["h"].to_numpy(np.int64), m), "s": np.repeat(b["s"].to_numpy(np.int64), m), "k": np.repeat(b["k"].to_numpy(np.int64), m), "lo": lo.astype(np.int32), "w": w})
 
-    # At most one hot anchor for each SHARD_BYTES of segments; the joins choose their strategy by the written table's size.
+    # At most one hot anchor for each SHARD_BYTES of segments; the joins with them choose their strategy by the written table's size.  All other joins here are of tables that grow with the input and are merged, never broadcast.
     cold = segments.join(hot, "h", "left_anti").repartition(shards, "shard").sortWithinPartitions("shard", "h", "s")
     runs = cold.mapInPandas(tidy(lambda batches: settled(batches, width)), "h long, s long, lo int, n int, least long")
     if not hot.isEmpty():
@@ -362,7 +362,7 @@ def _spans(chunked: _Chunks, width: int) -> DataFrame:
         own = large.select("h", "s", F.lit(0).alias("lo"), (F.length("segment") - (width - 1)).alias("n"), F.col("k").alias("least"))
         runs = runs.union(earlier).union(own)
     places = spots.where("kind = 0").select("h", "s", "k", "t", F.col("a").alias("at"))
-    met = places.join(runs, ["h", "s"]).where("least < k")
+    met = places.join(runs.hint("merge"), ["h", "s"]).where("least < k")
     spans = met.select("k", "t", (F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("lo") + F.col("n") + width - 1).alias("b"))
     spans = spans.union(spots.where("kind = 2").select("k", "t", "a", "b"))
     spans = kept(spans.unionByName(copies.select("k", "t", F.lit(0).alias("a"), F.col("size").alias("b"))), "repeat-spans")
@@ -391,7 +391,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
     lists = spans.groupBy("k", "t").agg(F.collect_list("a").alias("loomstead a"), F.collect_list("b").alias("loomstead b"))
     lists = lists.withColumnsRenamed({"k": "loomstead k", "t": "loomstead t"})
     body = F.col(text_col).cast("binary")
-    return docs.join(lists, (F.col(id_col).cast("long") == F.col("`loomstead k`")) & (F.xxhash64(body) == F.col("`loomstead t`")), "left").drop("loomstead k", "loomstead t")
+    return docs.join(lists.hint("merge"), (F.col(id_col).cast("long") == F.col("`loomstead k`")) & (F.xxhash64(body) == F.col("`loomstead t`")), "left").drop("loomstead k", "loomstead t")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

@@ -30,7 +30,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """
     queries.bounded_batches(spark)
     gone = near_duplicates.near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -415,3 +415,11 @@ def _joins_of(monkeypatch, run, *modules):
 def test_near_duplicates_broadcast_no_growing_table(spark, monkeypatch):
     plans = _joins_of(monkeypatch, lambda: near_duplicates.near_duplicates(documents(spark, SF), size=3, percent=85), near_duplicates, graph)
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("stage", ["without_near_duplicates", "without_repeats"])
+def test_stages_broadcast_no_growing_table(spark, stage):
+    from loomstead.llm import stages
+
+    plan = getattr(stages, stage)(spark, documents(spark, SF), SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
