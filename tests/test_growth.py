@@ -30,6 +30,11 @@ def test_states_are_kept_once_for_many_starts(spark, monkeypatch):
     assert rows == 40 * (1 + 4 * 15) and most < 200
 
 
+def test_calls_out_of_reach_are_not_kept(spark, monkeypatch):
+    rows, most = held(monkeypatch, lambda: C.summary_reach(*calls(spark, 5, others=300)))
+    assert rows == 5 * 5 and most < 100
+
+
 def test_packed_starts_come_back(spark):
     starts = spark.range(0, 1300).selectExpr("if(id = 7, null, id) as node")
     packed = G.Packed(starts)
