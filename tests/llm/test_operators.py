@@ -391,6 +391,29 @@ def test_runs_of_spaces_are_pieces(text):
     assert np.abs(share - weight / weight.sum()).sum() < 0.05
 
 
+def test_lattices_of_known_words_are_kept(monkeypatch):
+    s = pieces.PieceSampler(public_tokenizers.path(queries.PIECES), 0.5)
+    built, lattice = [], s._lattice
+    monkeypatch.setattr(s, "_lattice", lambda buf, skip, starts, size: built.append(len(starts)) or lattice(buf, skip, starts, size))
+    texts = [b"the nation and the nation", b"", "x  y ▁z 語".encode(), b"the end"]
+    keys = np.arange(len(texts))
+    first = [g.tolist() for g in s.sample(texts, keys, 5)]
+    assert built == [9]  # the nation and, the empty word, x, y with a second space, z with its bar, 語, end
+    assert [g.tolist() for g in s.sample(texts, keys, 5)] == first and built == [9]
+    assert [s.sample([t], keys[k : k + 1], 5)[0].tolist() for k, t in enumerate(texts)] == first and built == [9]
+    # With room for a few words only, lattices are built again and the draws stay.
+    monkeypatch.setattr(pieces, "STORE", 40)
+    assert [s.sample([t], keys[k : k + 1], 5)[0].tolist() for k, t in reversed(list(enumerate(texts)))] == first[::-1]
+    assert len(built) > 1 and s.nodes <= 80
+
+
+def test_a_broken_character_leaves_its_neighbours_whole():
+    s = pieces.PieceSampler(public_tokenizers.path(queries.PIECES), 0.5)
+    letter = s.spell.index(b"a", int(s.byte_id.max()) + 1)
+    drawn = {tuple(g.tolist()[-2:]) for g in s.sample([b"\xe2a"] * 2000, np.arange(2000), 5)}
+    assert drawn == {(int(s.byte_id[0xE2]), letter)}
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
