@@ -9,7 +9,7 @@ position.  So a row always gets the same segmentation, and every segmentation ha
 
 A word starts at the first space of each run of spaces and holds the whole run.  No piece crosses a word
 start, so words are filtered apart and all words of a batch advance together, byte position by byte
-position, in numpy.  A vocabulary with a piece that does cross one is refused.  A worker keeps the lattices
+position, in numpy.  A vocabulary with a piece that does cross one is refused.  A task keeps the lattices
 of the words it has met, up to a bound past which it starts afresh; draws do not depend on what is kept.
 
 Spaces are written as U+2581 with one added in front; an original U+2581 is spelled in byte pieces, so
@@ -37,7 +37,7 @@ _BAR = "▁".encode()
 _REST = re.compile(rb" ( *[^ ]*)")
 _LOST = -1e30
 #: Nodes of the word lattices that are kept from batch to batch.
-STORE = 1 << 22
+STORE = 1 << 21
 #: Bytes of a character, by its first byte; 1 for bytes that are none.
 _CHAR = np.repeat(np.array([1, 2, 3, 4], np.int8), [192, 32, 16, 16])
 #: Bits of a draw (the rest of 64 number a store's nodes), and of a piece id.
@@ -68,7 +68,9 @@ class _Rows:
             self.columns = list(columns)
             return
         if self.n > len(self.columns[0]):
-            self.columns = [np.concatenate([c[:begin], np.empty(self.n, c.dtype)]) for c in self.columns]
+            for k, c in enumerate(self.columns):  # one by one, and without a touch of the pages still to fill
+                self.columns[k] = np.empty(begin + self.n, c.dtype)
+                self.columns[k][:begin] = c[:begin]
         for mine, more in zip(self.columns, columns):
             mine[begin : self.n] = more
 
@@ -119,14 +121,15 @@ class PieceSampler:
                     ends.append(-1)
                 at = kids[at][b]
             ends[at] = i
-        self.step = np.zeros((len(kids), len(used) + 1), np.int32)  # 0, the root, stands for no way on
+        # 0, the root, stands for no way on; each worker has this table, so it is as narrow as its numbers allow.
+        self.step = np.zeros((len(kids), len(used) + 1), np.uint16 if len(kids) <= 1 << 16 else np.int32)
         for at, k in enumerate(kids):
             for b, to in k.items():
                 self.step[at, self.column[b]] = to
         self.ends = np.array(ends, np.int32)
         self.flat = self.step.ravel()
         self.alone = np.array([bytes((b,)) in pieces for b in range(256)])
-        self._forget()
+        self.forget()
 
     def sample(self, texts: list[bytes], keys: np.ndarray, seed: int, bases: list[int] | None = None) -> list[np.ndarray]:
         """A segmentation of each text: piece ids, drawn by the text's key.
@@ -160,7 +163,8 @@ class PieceSampler:
         where = np.flatnonzero(out >= 0)
         return np.split(out.take(where), np.searchsorted(where, begin[1:]))
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop the lattices that are kept."""
         self.number, self.nodes = _Numbers(), 0
         self.words, self.edges = _Rows(), _Rows()
 
@@ -170,7 +174,7 @@ class PieceSampler:
         number = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
         new = self.number.new
         if self.nodes and self.nodes + sum(map(len, new)) + 4 * len(new) > STORE:
-            self._forget()
+            self.forget()
             return self._numbers(words)
         if new:
             self._add(new)
@@ -320,18 +324,21 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 11,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sp = sampler(model_path, alpha)
-        for b in batches:
-            for rows_ in by_size([len(t) + 64 for t in b["t"]], BLOCK):
-                part = b.iloc[rows_]
-                texts = list(part["t"])
-                keys = part["doc_id"].fillna(0).to_numpy(np.int64) + (part["copy"].fillna(0).to_numpy(np.int64) << 40)
-                if len(texts) > 1 or len(texts[0]) <= BLOCK:
-                    got = sp.sample(texts, keys, seed)
-                else:
-                    got = [np.concatenate([sp.sample([t], keys, seed, [base])[0] for base, t in text_blocks(texts[0])])]
-                back = [sp.decode(g) for g in got]
-                out = {"doc_id": part["doc_id"].astype("Int64"), "n_bytes": [len(t) for t in texts], "n_pieces": [len(g) for g in got], "pieces_crc32": [zlib.crc32(g.astype("<u4").tobytes()) for g in got], "lossless": [x == t for x, t in zip(back, texts)]}
-                yield pd.DataFrame(out | ({"piece_ids": [g.astype(np.int32) for g in got]} if with_ids else {}) | ({"decoded": back} if with_text else {}))
+        try:
+            for b in batches:
+                for rows_ in by_size([len(t) + 64 for t in b["t"]], BLOCK):
+                    part = b.iloc[rows_]
+                    texts = list(part["t"])
+                    keys = part["doc_id"].fillna(0).to_numpy(np.int64) + (part["copy"].fillna(0).to_numpy(np.int64) << 40)
+                    if len(texts) > 1 or len(texts[0]) <= BLOCK:
+                        got = sp.sample(texts, keys, seed)
+                    else:
+                        got = [np.concatenate([sp.sample([t], keys, seed, [base])[0] for base, t in text_blocks(texts[0])])]
+                    back = [sp.decode(g) for g in got]
+                    out = {"doc_id": part["doc_id"].astype("Int64"), "n_bytes": [len(t) for t in texts], "n_pieces": [len(g) for g in got], "pieces_crc32": [zlib.crc32(g.astype("<u4").tobytes()) for g in got], "lossless": [x == t for x, t in zip(back, texts)]}
+                    yield pd.DataFrame(out | ({"piece_ids": [g.astype(np.int32) for g in got]} if with_ids else {}) | ({"decoded": back} if with_text else {}))
+        finally:
+            sp.forget()  # an idle worker holds no lattices beside the next stage
 
     return rows.mapInPandas(tidy(run), schema)
 

@@ -436,6 +436,8 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             out.append(raw[np.repeat(np.maximum.reduceat(stay, lead), width_)].tobytes().decode())
         return pd.Series(out)
 
+    # Filters on the text stay above the cut: pushed below, they would cut every text twice, with a second Python worker a task.
+    cut = cut.asNondeterministic()
     text = F.when(F.col("`loomstead a`").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("`loomstead a`"), F.col("`loomstead b`")))
     out = found.withColumn(text_col, text).drop("loomstead a", "loomstead b")
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -407,6 +411,41 @@ def test_lattices_of_known_words_are_kept(monkeypatch):
     assert len(built) > 1 and s.nodes <= 80
 
 
+_MEMORY = """
+import re
+import numpy as np
+from loomstead.llm import pieces, queries
+held = lambda: int(re.search(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+queries.tokenizer_file(queries.PIECES)
+before = held()
+s = pieces.PieceSampler(queries.tokenizer_file(queries.PIECES), 1.0)
+letters, most = np.random.default_rng(1), 0
+for _ in range(40):
+    text = letters.integers(97, 123, (12000, 8), np.uint8)
+    text[:, 7] = 32
+    s.sample([text.tobytes()], np.array([1]), 5)
+    most = max(most, held() - before)
+s.forget()
+print(most, s.nodes, len(s.number), s.edges.n)
+"""
+
+
+def test_a_worker_holds_little_memory():
+    """A full store of lattices and the sampler's tables, in MB; nothing is kept once a task has ended."""
+    said = subprocess.run([sys.executable, "-c", _MEMORY], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split()
+    assert float(said[0]) < 200 and said[1:] == ["0", "0", "0"]
+
+
+def test_lattices_go_with_the_task(monkeypatch, spark, odd):
+    ran = []
+    monkeypatch.setattr(pieces, "tidy", lambda run: ran.append(run) or run)
+    path = queries.tokenizer_file(queries.PIECES)
+    pieces.encode(odd, path)
+    rows = ran[0](iter([pd.DataFrame({"doc_id": [1], "copy": [0], "t": [b"the nation"]})]))
+    assert next(rows)["lossless"].all() and pieces.sampler(path, 1.0).nodes
+    assert list(rows) == [] and not pieces.sampler(path, 1.0).nodes
+
+
 def test_a_broken_character_leaves_its_neighbours_whole():
     s = pieces.PieceSampler(public_tokenizers.path(queries.PIECES), 0.5)
     letter = s.spell.index(b"a", int(s.byte_id.max()) + 1)
@@ -446,3 +485,10 @@ def test_stages_broadcast_no_growing_table(spark, stage):
 
     plan = getattr(stages, stage)(spark, documents(spark, SF), SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_text_is_cut_once(spark):
+    from loomstead.llm import stages
+
+    plan = stages.without_repeats(spark, documents(spark, SF), SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("ArrowEvalPython", plan)) == 1
